@@ -26,7 +26,7 @@ from .common import discard, stash
 WINDOW = 1024
 END_ID = 0
 DEPTH = 3
-BLOCK_DOCS = 16_384
+BLOCK_DOCS = 4_096
 CACHE_WORDS = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block int"
 
@@ -65,6 +65,16 @@ class WordTokenizer:
         return out
 
 
+_CODERS: dict[str, WordTokenizer] = {}
+
+
+def coder_of(path: str) -> WordTokenizer:
+    """One per Python worker: its word cache serves all tasks that the worker runs."""
+    if path not in _CODERS:
+        _CODERS[path] = WordTokenizer(path)
+    return _CODERS[path]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -78,7 +88,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = WordTokenizer(vocabulary or default_vocabulary())
+        coder = coder_of(vocabulary or default_vocabulary())
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
