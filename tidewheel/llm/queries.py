@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_paths, langid, line_rules, nbsvm, packing, pii
+from . import decontam, html_paths, langid, line_rules, nbsvm, neardup, packing, pii
 from .common import fold, table
 
 
@@ -29,6 +29,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components_of(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2))
@@ -38,4 +42,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_rules, op4_quality, op5_decontamination, op9_language, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_rules, op4_quality, op5_decontamination, op6_near_duplicates, op9_language, op10_pii)}
