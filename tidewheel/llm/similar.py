@@ -45,11 +45,13 @@ def shingle_set(words: list[bytes], n: int) -> np.ndarray:
 
 def signature(shingles: np.ndarray, m: int) -> bytes:
     """m minima as little-endian uint32."""
-    out = np.empty(m, "<u4")
-    for k in range(m):
-        h = (shingles ^ COORD_ADD[k]) * COORD_MUL[k]
-        out[k] = ((h ^ (h >> np.uint64(31))) * COORD_MUL[-1 - k]).min() >> np.uint64(32)
-    return out.tobytes()
+    out = np.full(m, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        h = (shingles[at : at + 4096, None] ^ COORD_ADD[:m]) * COORD_MUL[:m]
+        h ^= h >> np.uint64(31)
+        h *= COORD_MUL[63 : 63 - m : -1]
+        np.minimum(out, h.min(0), out=out)
+    return (out >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def class_id(shingles: np.ndarray) -> int:
