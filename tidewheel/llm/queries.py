@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_paths, langid, line_rules, nbsvm, neardup, packing, paragraphs, pii
+from . import decontam, html_paths, langid, line_rules, maxent, nbsvm, neardup, packing, paragraphs, pii
 from .common import fold, table
 
 
@@ -37,6 +37,10 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2))
@@ -46,4 +50,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_rules, op4_quality, op5_decontamination, op6_near_duplicates, op7_repeated_passages, op9_language, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_rules, op4_quality, op5_decontamination, op6_near_duplicates, op7_repeated_passages, op8_language_model, op9_language, op10_pii)}
