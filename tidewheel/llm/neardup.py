@@ -68,7 +68,7 @@ def components_of(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         return sets.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members"))
 
     prefix = F.array(*[similar.coordinate(F.col("sig"), j) for j in range(coords - least + 1)])
-    divide = [similar.coordinate(F.col("sig"), j) for j in range(coords - least + 2)]
+    divide = [similar.coordinate(F.col("sig"), j) for j in range(coords - least + 4)]  # enough for three agreements besides the list's own
     roots = similar.roots(classes, prefix, fetch, least=least, percent=percent, divide=divide)
     rooted = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid")
     first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

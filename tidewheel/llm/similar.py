@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import stash
 from .components import components
 
-LIST_LIMIT = 1_024
+LIST_LIMIT = 8_192
 #: Odd multipliers that mix the words of a shingle, and those of the signature's coordinates.
 _rng = np.random.default_rng(20_011)
 WORD_MIX = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -125,13 +125,13 @@ def unconnected(lists: DataFrame, least: int) -> DataFrame:
 
 def _divided(lists: DataFrame, divide: list[Column] | None, limit: int) -> DataFrame:
     """The same pairs in lists of at most about limit members."""
-    sized = lambda x: x.join(x.groupBy("key").agg(F.count("*").alias("n")), "key")
+    sized = lambda x: x.join(x.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     now = sized(lists)
     small, large = now.where(F.col("n") <= limit).drop("n"), now.where(F.col("n") > limit).drop("n")
-    if divide:
+    for _ in range(2 if divide else 0):  # a pair with `least` agreements meets again under one further coordinate, and another
         large = large.withColumn("further", F.explode(F.array(*divide))).withColumn("key", F.xxhash64("key", "further")).drop("further")
         again = sized(large)
-        small, large = small.unionByName(again.where((F.col("n") <= limit) & (F.col("n") > 1)).drop("n")), again.where(F.col("n") > limit).drop("n")
+        small, large = small.unionByName(again.where(F.col("n") <= limit).drop("n")), again.where(F.col("n") > limit).drop("n")
     blocks = sized(large).withColumn("blocks", F.ceil(F.col("n") * 2 / limit).cast("int"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
