@@ -144,7 +144,7 @@ class Weights:
             grad_q = -np.exp(logq)
             grad_q[np.arange(len(known)), place] += 1
             for name, rows, g_ in (("last", last, grad), ("skip", skip, grad), ("pair", pair, grad), ("word", g, grad_q), ("within", inner, grad_q)):
-                order = np.argsort(rows, kind="stable")
+                order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
                 begin = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0])) if len(rows) else np.empty(0, np.int64)
                 if len(begin):
                     ids, n = rows[order][begin], np.diff(np.append(begin, len(rows)))
@@ -236,7 +236,7 @@ def train(docs: DataFrame, known: np.ndarray, start: Weights, rounds: int = ROUN
 
 def lines_up(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Distinct hashes, and for each the documents that hold it (once per occurrence), as binary uint16."""
-    order = np.lexsort((docs, hashes))
+    order = np.argsort(hashes, kind="stable")  # documents are in order already
     h, d = hashes[order], docs[order].astype("<u2")
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
     offsets = np.append(begin, len(h)).astype(np.int32) * 2
