@@ -128,10 +128,13 @@ def _divided(lists: DataFrame, divide: list[Column] | None, limit: int) -> DataF
     sized = lambda x: x.join(x.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     now = sized(lists)
     small, large = now.where(F.col("n") <= limit).drop("n"), now.where(F.col("n") > limit).drop("n")
+    large = large.withColumn("path", F.array("key"))
     for _ in range(2 if divide else 0):  # a pair with `least` agreements meets again under one further coordinate, and another
-        large = large.withColumn("further", F.explode(F.array(*divide))).withColumn("key", F.xxhash64("key", "further")).drop("further")
+        large = large.withColumn("further", F.explode(F.array_except(F.array(*divide), F.col("path"))))
+        large = large.withColumn("path", F.concat("path", F.array("further"))).withColumn("key", F.xxhash64("key", "further")).drop("further")
         again = sized(large)
-        small, large = small.unionByName(again.where(F.col("n") <= limit).drop("n")), again.where(F.col("n") > limit).drop("n")
+        small, large = small.unionByName(again.where(F.col("n") <= limit).drop("n", "path")), again.where(F.col("n") > limit).drop("n")
+    large = large.drop("path")
     blocks = sized(large).withColumn("blocks", F.ceil(F.col("n") * 2 / limit).cast("int"))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
