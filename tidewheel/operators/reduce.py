@@ -45,7 +45,7 @@ def python_fold(df: DataFrame, size_ms: int, fn: Callable, *, order: str = "reco
     """The fold with a user function over JSON payloads; opaque, so each group goes to one Python task."""
     fn = udfs.checked(fn, "reduce")
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key, rows):
         rows = rows.sort_values(order)
         return pd.DataFrame({"window_start": [key[0]], "window_end": [key[1]], "key": [key[2]], "payload": [udfs.fold_json(fn, rows["payload"].tolist())]})
 

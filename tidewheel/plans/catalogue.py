@@ -276,9 +276,10 @@ def stream_wordcount(spark, d):
     out = csv_sink.directory(folder, "job", "output")
     made = streaming.word_rows(streaming.reduce_stream(own, streaming.add_counts, 24 * HOUR))
     running = made.writeStream.foreachBatch(lambda batch, _: csv_sink.write(batch, out)).option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
-    try:
-        running.processAllAvailable()
-        time.sleep(1.5)
+    try:  # processAllAvailable() would wait for ever: timers keep an idle query's batches going
+        until = time.time() + 120
+        while time.time() < until and not running.exception() and not any(p["numInputRows"] for p in running.recentProgress):
+            time.sleep(0.5)
     finally:
         running.stop()
     return csv_sink.read(spark, out)
