@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stable_order
+from .common import bounded_sample, fold
 
 SAMPLE_DOCS = 1_500
 ROUNDS = 2
@@ -201,7 +201,7 @@ class Model:
 def fit(docs: DataFrame, learn: Column, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     own = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = sorted(r[0] for r in own.select("lang").distinct().collect())  # languages: a closed, small set
-    some = own.orderBy(stable_order("doc_id"), F.xxhash64("text")).limit(sample_docs).select("text", "lang").collect()
+    some = bounded_sample(own, sample_docs, "doc_id", "text").select("text", "lang").collect()
     return Model(vocabulary(path or default_vocabulary()), langs, [(r["text"], r["lang"]) for r in some])
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stable_order
+from .common import bounded_sample, fold
 
 BITS = 18
 SAMPLE_ROWS = 6_000
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SA
     """Learn from at most sample_rows labelled documents for which learn holds."""
     own = docs.where(learn).select("doc_id", "text")
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = own.join(marks, "doc_id").orderBy(stable_order("doc_id"), F.xxhash64("text")).limit(sample_rows).select("text", "quality").collect()
+    some = bounded_sample(own.join(marks, "doc_id"), sample_rows, "doc_id", "text").select("text", "quality").collect()
     return Model([r["text"] for r in some], [r["quality"] for r in some])
 
 
