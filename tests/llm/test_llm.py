@@ -81,11 +81,15 @@ def test_packing_keeps_every_id(docs):
     assert max(by.values()) <= packing.WINDOW
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "tail ", "x\n y", "a \n b", "  z", "", "no\n\nbreak here", "\0 a"])
-def test_word_tokenizer_equals_the_tokenizer(text):
-    coder = packing.WordTokenizer(packing.default_vocabulary())
-    want = coder.model.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == want
+def test_byte_tokenizer_equals_the_library():
+    coder = packing.ByteTokenizer(packing.default_vocabulary())
+    some = list("aA1'.,;-\n\t\r    é日ß\u0301\u200d😀🏽힣٣²½_ﬁİ'sll're") + ["<|endoftext|>"]
+    texts = ["", "a  b", " lead", "tail ", "x\n y", "\0 a", "x" * 5_000, " \n" * 5_000, "ab" + " " * 5_000 + "c"]
+    texts += ["".join(random.choices(some, k=25)) for _ in range(2_000)]
+    texts += [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}." for c in range(0x3400) if not 0xD800 <= c < 0xE000]
+    assert coder.fast is not None
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.model.encode(text, add_special_tokens=False).ids
 
 
 def test_plan_uses_each_length_exactly():
