@@ -59,7 +59,7 @@ def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def components_of(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     known = stash(sketch(docs, shingle, coords))
-    classes = stash(known.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    classes = stash(known.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
     text_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def fetch(cids: DataFrame) -> DataFrame:
@@ -67,9 +67,7 @@ def components_of(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         sets = sets_of(text_of.join(reps, "doc_id", "left_semi"), shingle)
         return sets.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members"))
 
-    prefix = F.array(*[similar.coordinate(F.col("sig"), j) for j in range(coords - least + 1)])
-    divide = [similar.coordinate(F.col("sig"), j) for j in range(coords - least + 4)]  # enough for three agreements besides the list's own
-    roots = similar.roots(classes, prefix, fetch, least=least, percent=percent, divide=divide)
+    roots = similar.roots(classes, fetch, coords=coords, least=least, percent=percent)
     rooted = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid")
     first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = rooted.join(first, "root").select("cid", "component_id")

@@ -164,7 +164,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = stash(named.join(open_keys, "key", "left_semi").select("key", "cid", "root"))
     if not rest.isEmpty():
         members = stash(fetch(rest.select("cid").distinct()))
-        late = stash(_late_links(similar._divided(rest, None, LIST_LIMIT).join(members, "cid"), percent))
+        late = stash(_late_links(similar.blocked(rest, LIST_LIMIT).join(members, "cid"), percent))
         if not late.isEmpty():
             found = stash(components(links.unionByName(late)))
     clustered = classes.select("cid", "n").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left")

@@ -1,11 +1,12 @@
 """Links between similar sets from posting lists of their signatures, without all pairs of a list.
 
-Each set (class id, signature) is posted under some keys such that similar sets share a key.  First every member of a
-list is held against the list's smallest member; confirmed links make components.  Only lists that still hold several
-components are looked at again: there pairs of different components whose signatures agree enough are confirmed too.
-So each pair that shares a key and agrees enough is either confirmed or already connected.  Lists over LIST_LIMIT
-members are first divided by a further coordinate where `divide` says how, then into pairs of blocks: work is spread,
-none is left out.
+Each set (class id, signature) is posted under some coordinate-value pairs such that similar sets share one.  First every
+member of a list is held against the list's member with most copies; confirmed links make components.  Only lists that
+still hold several components are looked at again: members that agree enough with one of another component are told
+by their signatures, and only those meet, with their full sets, in one task that yields the links which connect
+components.  So each pair that shares a key and agrees enough is either confirmed or already connected, and no list yields
+more links than it has members.  A pair is looked at in the list of its first common coordinates alone.  Lists over
+LIST_LIMIT members are divided by further coordinates, then into pairs of blocks: work is spread, none is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import stash
 from .components import components
 
 LIST_LIMIT = 8_192
+#: Shingles that one task holds at a time when it compares full sets; longer lists are cut into blocks.
+MEMBER_LIMIT = 2_000_000
 #: Odd multipliers that mix the words of a shingle, and those of the signature's coordinates.
 _rng = np.random.default_rng(20_011)
 WORD_MIX = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -92,78 +95,142 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def unconnected(lists: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components in lists (key, cid, root, sig) of bounded size that agree in so many coordinates."""
+def by_list(lists: DataFrame, each: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """each applied to the rows of every key, of bounded number."""
+    kinds = dict(part.split() for part in schema.split(", "))
+    arrow = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        cid, root = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        if (root == root[0]).all():
-            return []
-        sig, out = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1), []
-        for i in range(len(rows) - 1):
-            for j in np.flatnonzero((root[i + 1 :] != root[i]) & ((sig[i + 1 :] == sig[i]).sum(1) >= least)) + i + 1:
-                out.append((int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))))
-        return out
+    def batch_of(out):
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches):
         key, rows, out = None, [], []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != key:
-                    out += pairs(rows)
+                    out += each(rows) if len(rows) > 1 else []
                     key, rows = row[0], []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield batch_of(out)
             out = []
-        out = pairs(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return lists.select("key", "cid", "root", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+        yield batch_of(each(rows) if len(rows) > 1 else [])
+
+    return lists.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+class Open:
+    """Which later members of a list may be linked to one of them and are not connected with it."""
+
+    def __init__(self, rows: list[tuple], least: int):
+        """rows: (key, path, cid, root, sig, ...)"""
+        self.path, self.least = rows[0][1], least
+        self.root = np.unique(np.array([r[3] for r in rows]), return_inverse=True)[1]
+        self.sig = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), -1)
+
+    def after(self, i: int) -> np.ndarray:
+        """Agree with i often enough, and up to the path's end in the path's coordinates only."""
+        other = np.flatnonzero(self.root[i + 1 :] != self.root[i]) + i + 1
+        if not len(other):
+            return other
+        same = self.sig[other] == self.sig[i]
+        return other[(same.sum(1) >= self.least) & (same[:, : self.path[-1] + 1].sum(1) == len(self.path))]
+
+    def connect(self, i: int, j: int) -> bool:
+        """Whether i and j were apart until now."""
+        if apart := self.root[i] != self.root[j]:
+            self.root[self.root == self.root[j]] = self.root[i]
+        return bool(apart)
+
+
+def promising(rows: list[tuple], least: int) -> list[tuple]:
+    """The rows of a list that may be linked to one of another component."""
+    own, some = Open(rows, least), np.zeros(len(rows), bool)
+    for i in range(len(rows) - 1):
+        if len(found := own.after(i)):
+            some[i] = some[found] = True
+    return [rows[i] for i in np.flatnonzero(some)]
+
+
+def connecting(rows: list[tuple], least: int, percent: int) -> list[tuple]:
+    """Links (a, b) on full sets that connect the components of a list; rows end with the members."""
+    own, cid = Open(rows, least), [r[2] for r in rows]
+    size = np.array([len(r[-1]) // 8 for r in rows])
+    begin = np.cumsum(size) - size
+    place = np.unique(np.frombuffer(b"".join(r[-1] for r in rows), np.uint64), return_inverse=True)[1]
+    mine, out = np.zeros(place.max() + 1, bool), []
+    for i in range(len(rows) - 1):
+        c = own.after(i)
+        c = c[(100 * size[c] >= percent * size[i]) & (100 * size[i] >= percent * size[c])]
+        if not len(c):
+            continue
+        here = place[begin[i] : begin[i] + size[i]]
+        mine[here] = True
+        start = np.cumsum(size[c]) - size[c]
+        at = np.arange(int(size[c].sum())) + np.repeat(begin[c] - start, size[c])
+        both = np.add.reduceat(mine[place[at]], start, dtype=np.int64)
+        mine[here] = False
+        for j in c[100 * both >= percent * (size[i] + size[c] - both)]:
+            if own.connect(i, j):
+                out.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+    return out
+
+
+def blocked(lists: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """The same pairs of (key, cid, ...) in lists that weigh about the limit at most: heavier ones become pairs of hashed blocks."""
+    weighed = lists.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("_w"), F.count("*").alias("_n")).where("_n > 1")
+    out = lists.join(weighed, "key").withColumn("_blocks", F.when(F.col("_w") <= limit, 1).otherwise(F.ceil(F.col("_w") * 2 / limit)).cast("int"))
+    out = out.withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return out.withColumn("key", F.when(F.col("_blocks") == 1, F.col("key")).otherwise(pair)).select(*lists.columns)
+
+
+def divided(lists: DataFrame, coords: int, least: int, limit: int, times: int = 2) -> DataFrame:
+    """Lists (key, path, cid, root, sig) of several components, those over the limit divided by the next common coordinate.
+
+    A pair with `least` agreements has its k-th one among the first coords - least + k coordinates.
+    """
 
+    def mixed(x):
+        n = x.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        return x.join(n.select("key", "n"), "key")
 
-def _divided(lists: DataFrame, divide: list[Column] | None, limit: int) -> DataFrame:
-    """The same pairs in lists of at most about limit members."""
-    sized = lambda x: x.join(x.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    now = sized(lists)
+    now = mixed(lists)
     small, large = now.where(F.col("n") <= limit).drop("n"), now.where(F.col("n") > limit).drop("n")
-    large = large.withColumn("path", F.array("key"))
-    for _ in range(2 if divide else 0):  # a pair with `least` agreements meets again under one further coordinate, and another
-        large = large.withColumn("further", F.explode(F.array_except(F.array(*divide), F.col("path"))))
-        large = large.withColumn("path", F.concat("path", F.array("further"))).withColumn("key", F.xxhash64("key", "further")).drop("further")
-        again = sized(large)
-        small, large = small.unionByName(again.where(F.col("n") <= limit).drop("n", "path")), again.where(F.col("n") > limit).drop("n")
-    large = large.drop("path")
-    blocks = sized(large).withColumn("blocks", F.ceil(F.col("n") * 2 / limit).cast("int"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return small.unionByName(blocks.select(*small.columns))
-
-
-def roots(sketches: DataFrame, keys: Column, fetch: Callable[[DataFrame], DataFrame], *, least: int, percent: int, divide: list[Column] | None = None, limit: int = LIST_LIMIT) -> DataFrame:
+    for k in range(1, times + 1):
+        large = large.withColumn("next", F.explode(F.sequence(F.element_at("path", -1) + 1, F.lit(coords - least + k))))
+        large = large.withColumn("path", F.concat("path", F.array("next"))).withColumn("key", F.expr("xxhash64(key, next, substring(sig, 4 * next + 1, 4))")).drop("next")
+        again = mixed(large)
+        small, large = small.unionByName(again.where(F.col("n") <= limit).drop("n")), again.where(F.col("n") > limit).drop("n")
+    return small.unionByName(blocked(large, limit))
+
+
+def roots(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, coords: int, least: int, percent: int, limit: int = LIST_LIMIT, member_limit: int = MEMBER_LIMIT) -> DataFrame:
     """(node, root) of all classes linked to another one.
 
-    sketches: one row per class, (cid, sig).  keys: an array of posting keys from sig.  fetch: classes (cid) -> their
-    full sets (cid, members).  least: coordinates that must agree.  percent: of the union that must be shared.
+    sketches: one row per class, (cid, sig, copies, size of the set).  fetch: classes (cid) -> their full sets (cid,
+    members).  least: of the coords coordinates, how many must agree.  percent: of the union that must be shared.
     """
     sigs = sketches.select("cid", "sig")
-    posts = sigs.select(F.explode(keys).alias("key"), "cid")
-    heads = posts.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("n")).where("n > 1")
-    posts = stash(posts.join(heads, "key"))  # from here on, lists with several members only
+    prefix = F.array(*[coordinate(F.col("sig"), j) for j in range(coords - least + 1)])
+    posts = sketches.select(F.explode(prefix).alias("key"), "cid", "copies")
+    heads = posts.groupBy("key").agg(F.max(F.struct("copies", "cid"))["cid"].alias("head"), F.count("*").alias("n")).where("n > 1")
+    posts = stash(posts.drop("copies").join(heads, "key"))  # from here on, lists with several members only
     to_head = posts.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     first = stash(agreeing(to_head, sigs, least))
     links = stash(confirm(first, stash(fetch(_both(first))), percent))
     found = stash(components(links))
-    named = posts.where("n > 2").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = posts.where("n > 2").select("key", "cid").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = stash(named.join(open_keys, "key", "left_semi").select("key", "cid", "root").join(sigs, "cid").select("key", "cid", "root", "sig"))
-    if rest.isEmpty():
-        return found
-    second = stash(unconnected(_divided(rest, divide, limit), least).join(first, ["a", "b"], "left_anti"))
-    if second.isEmpty():
+    rest = named.join(open_keys, "key", "left_semi").join(sigs, "cid")
+    rest = stash(rest.select("key", F.array(F.shiftright("key", 32).cast("int")).alias("path"), "cid", "root", "sig"))
+    schema = "key long, path array<int>, cid long, root long, sig binary"
+    some = stash(by_list(divided(rest, coords, least, limit), lambda rows: promising(rows, least), schema))
+    if some.isEmpty():
         return found
-    more = stash(confirm(second, stash(fetch(_both(second))), percent))
+    lists = blocked(some.join(sketches.select("cid", "size"), "cid"), member_limit, F.col("size")).drop("size")
+    full = lists.join(stash(fetch(some.select("cid").distinct())), "cid").select("key", "path", "cid", "root", "sig", "members")
+    more = stash(by_list(full, lambda rows: connecting(rows, least, percent), "a long, b long"))
     return found if more.isEmpty() else stash(components(links.unionByName(more)))
 
 
