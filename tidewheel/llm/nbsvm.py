@@ -11,6 +11,8 @@ it is that class's smoothed share.  Repeated rows get equal scores; no row depen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +34,7 @@ def indicators(text: str | None, scratch: np.ndarray) -> np.ndarray:
     """Sorted ids of the features that the whole text has; scratch is an all-false array of 2**BITS."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     b = np.frombuffer(data, np.uint8).astype(np.uint32) + np.uint32(1)
     for n in (2, 3, 4):
         if len(b) >= n:
@@ -48,7 +50,7 @@ def indicators(text: str | None, scratch: np.ndarray) -> np.ndarray:
         same = (w[1:] == w[:-1]).astype(np.int64)
         if len(same) >= 3:
             scratch[1 + same[:-2] + 2 * same[1:-1] + 4 * same[2:]] = True
-    found = np.flatnonzero(scratch)
+    found = np.flatnonzero(scratch).astype(np.int32)
     scratch[found] = False
     return found
 
@@ -62,22 +64,23 @@ def ratios(rows: list[np.ndarray], good: np.ndarray, alpha: float = 1.0) -> np.n
     return r
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, c: float = C, epochs: int = EPOCHS) -> np.ndarray:
-    """L2-regularised hinge loss; the last weight is the bias. Classes weigh alike in total."""
+def dual_descent(rows: list[np.ndarray], unit: Callable[[np.ndarray], np.ndarray], good: np.ndarray, c: float = C, epochs: int = EPOCHS) -> np.ndarray:
+    """L2-regularised hinge loss; the last weight is the bias. Classes weigh alike in total.  unit: the values of a row, made when needed."""
     w = np.zeros((1 << BITS) + 1)
     y = np.where(good, 1.0, -1.0)
     cost = c * len(y) / (2 * np.where(good, max(1, good.sum()), max(1, (~good).sum())))
-    alpha, square = np.zeros(len(y)), np.array([v @ v + 1 for v in values])
+    alpha, square = np.zeros(len(y)), np.array([v @ v + 1 for v in map(unit, rows)])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (w[rows[i]] @ values[i] + w[-1]) - 1
+            values = unit(rows[i])
+            g = y[i] * (w[rows[i]] @ values + w[-1]) - 1
             new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 w[-1] += step
                 most = max(most, abs(step))
         if most < 1e-3:
@@ -117,9 +120,8 @@ class Model:
             fit[:] = True
         r = ratios([x for x, f in zip(rows, fit, strict=True) if f], good[fit])
         self.ratio = r.astype(np.float32)
-        values = [self.unit(x) for x in rows]
         take = np.flatnonzero(fit)
-        w = dual_descent([rows[i] for i in take], [values[i] for i in take], good[fit])
+        w = dual_descent([rows[i] for i in take], self.unit, good[fit])
         self.weight, self.bias = (w[:-1] * r).astype(np.float32), float(w[-1])
         seen = ~fit if not fit.all() else fit
         self.slope, self.intercept = logistic(np.array([self.margin(rows[i]) for i in np.flatnonzero(seen)]), good[seen])
