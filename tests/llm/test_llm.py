@@ -141,3 +141,30 @@ def test_line_rules(spark):
     got = {r["doc_id"]: r for r in line_rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[3]["base_failed"] and not got[2]["kept"] and not got[2]["base_failed"]
     assert got[3]["n_repeat_words"] == 100
+
+
+def test_passages_are_found_at_any_offset_and_wrap(spark):
+    """50 words amid long lines, or wrapped into lines of five words, in two documents each."""
+    rows, fresh = [], random.Random(11)
+    some = lambda n: [f"w{fresh.randrange(10**6)}" for _ in range(n)]
+    for k in range(150):
+        passage = some(50)
+        for side in range(2):
+            before, after = some(fresh.randrange(90)), some(fresh.randrange(90))
+            lines = [before + passage + after] if k % 2 else [before, *[passage[i : i + 5] for i in range(0, 50, 5)], after]
+            rows.append((2 * k + side, "\n".join(map(" ".join, lines))))
+    rows.append((999, " ".join(some(400))))
+    rows.append((1000, "a " * 400))
+    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} - {1000} == set(range(300))
+    inside = sorted(r["start_word"] for r in found if r["doc_id"] == 1000)  # repeats itself, without overlaps
+    assert all(b - a >= paragraphs.SPAN for a, b in zip(inside, inside[1:], strict=False))
+
+
+def test_short_lines_take_part_as_paragraphs(spark):
+    """Nine lines of six words, one word changed between two documents."""
+    words = [f"v{i}" for i in range(54)]
+    other = [*words[:27], "changed", *words[28:]]
+    wrap = lambda ws: "\n".join(" ".join(ws[i : i + 6]) for i in range(0, 54, 6))
+    found = paragraphs.repeats(spark.createDataFrame([(1, wrap(words)), (2, wrap(other))], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_words"]) for r in found} >= {(1, 54), (2, 54)}

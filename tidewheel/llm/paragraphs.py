@@ -2,12 +2,17 @@
 
 A text's lines are cut further after every other sentence end, chosen by a hash of the sentence's last word, and runs of over
 LONGEST words without one after words chosen by hash.  The cuts depend on nearby words only, so a passage has the same
-paragraphs wherever it stands.  Paragraphs of MIN_WORDS words or more take part.  Equal sets of 5-word shingles are one
+paragraphs wherever it stands.  Paragraphs of MIN_WORDS words or more take part; shorter neighbours are joined across
+line breaks, up to a chosen end, and not to a longer paragraph, which would then differ from its copies.  Equal sets of 5-word shingles are one
 class; classes meet under BANDS bands of ROWS coordinates (tuned by `tune` for recall), and pairs at a Jaccard similarity
 of 0.8, on the full sets, are linked.  Of each component of paragraphs the first by (doc_id, start_word) stays.
 
 Lists that hold several components after the first pass are joined exactly in memory, rare shingles first, so a very
 common line inside otherwise different paragraphs yields no candidates.  Null and empty texts have no paragraphs.
+
+Whatever the line breaks and sentence ends, stretches of SPAN words take part too, and are linked when equal: they begin at
+the least word-pair hash of every WINDOW places, so any PASSAGE words on end hold one that depends on no other word.
+Stretches of a text that overlap an equal one of the same text are left out, being no second copy.
 """
 
 from __future__ import annotations
@@ -30,6 +35,10 @@ MIN_WORDS = 8
 LONGEST = 64
 RECALL = 0.99
 LIST_LIMIT = 50_000
+PASSAGE = 50
+SPAN = 24
+WINDOW = PASSAGE - SPAN + 1
+WORDS_HELD = 1 << 18
 _ENDS = b".!?"
 
 
@@ -44,37 +53,126 @@ def tune(threshold: float = PERCENT / 100, recall: float = RECALL, rows: int = 2
 BANDS, ROWS = tune()
 
 
-def cut(text: bytes | None) -> list[tuple[int, list[bytes]]]:
-    """(first word, words) of each paragraph of at least MIN_WORDS words."""
-    out, at = [], 0
-    for line in (text or b"").lower().split(b"\n"):
-        own = line.split()
-        start = 0
-        for i, w in enumerate(own):
-            ends = any(c in w[-4:] for c in _ENDS) and xxhash.xxh3_64_intdigest(w) & 1
-            if ends or (i - start >= LONGEST and not xxhash.xxh3_64_intdigest(w) & 15):
-                if i + 1 - start >= MIN_WORDS:
-                    out.append((at + start, own[start : i + 1]))
-                start = i + 1
-        if len(own) - start >= MIN_WORDS:
-            out.append((at + start, own[start:]))
-        at += len(own)
+class Vocabulary(dict):
+    """Words by number, with their hashes and whether a sentence may end with them."""
+
+    def __init__(self):
+        self.hash, self.ends = np.empty(1024, np.uint64), np.empty(1024, bool)
+
+    def __missing__(self, word: bytes) -> int:
+        k = len(self)
+        if k == len(self.hash):
+            self.hash, self.ends = np.resize(self.hash, 2 * k), np.resize(self.ends, 2 * k)
+        self.hash[k] = xxhash.xxh3_64_intdigest(word)
+        self.ends[k] = any(c in word[-4:] for c in _ENDS)
+        self[word] = k
+        return k
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > WORDS_HELD:
+            self.clear()
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.hash[ids], self.ends[ids]
+
+
+def cut(lines: list[int], h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, word after the last) of each paragraph of at least MIN_WORDS words; lines are their numbers of words."""
+    chosen = ends & (h & np.uint64(1) == 1)
+    stops = np.union1d(np.cumsum(lines), np.flatnonzero(chosen) + 1).tolist()
+    far = h & np.uint64(15) == 0
+    pieces, start = [], 0
+    for stop in stops:
+        while stop - start > LONGEST and len(more := np.flatnonzero(far[start + LONGEST : stop])):
+            pieces.append((start, start := start + LONGEST + int(more[0]) + 1))
+        if stop > start:
+            pieces.append((start, start := stop))
+    out, first = [], None  # first: of the short pieces at hand
+    for start, stop in pieces:
+        if stop - start >= MIN_WORDS:
+            if first is not None and start - first >= MIN_WORDS:
+                out.append((first, start))
+            out.append((start, stop))
+            first = None
+            continue
+        first = start if first is None else first
+        if stop - first >= MIN_WORDS and (chosen[stop - 1] or (stop - first > LONGEST and far[stop - 1])):
+            out.append((first, stop))
+            first = None
+    if first is not None and len(h) - first >= MIN_WORDS:
+        out.append((first, len(h)))
     return out
 
 
+def spans(h: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and names of the stretches of SPAN words."""
+    if len(h) < PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    pair = similar.shingles_of(h, 2)
+    at = np.lib.stride_tricks.sliding_window_view(pair, WINDOW).argmin(1)
+    at = np.unique(at + np.arange(len(at)))
+    at = at[at <= len(h) - SPAN]
+    name = np.zeros(len(at), np.uint64)
+    for k in (*range(0, SPAN - SHINGLE, SHINGLE), SPAN - SHINGLE):
+        name = (name ^ (name >> np.uint64(29))) * similar.WORD_MIX[1] + shingles[at + k]
+    name = (name ^ (name >> np.uint64(32))).view(np.int64)
+    if len(np.unique(name)) < len(name):
+        last, own = {}, np.ones(len(at), bool)
+        for i, (x, n) in enumerate(zip(at.tolist(), name.tolist(), strict=True)):
+            own[i] = x - last.get(n, -SPAN) >= SPAN
+            if own[i]:
+                last[n] = x
+        at, name = at[own], name[own]
+    return at, name
+
+
+class Text:
+    """The paragraphs of a text with the sorted distinct shingles of each."""
+
+    def __init__(self, text: bytes | None, vocabulary: Vocabulary):
+        text = (text or b"").lower()
+        self.hash, ends = vocabulary.look_up(text.split())
+        self.shingles = similar.shingles_of(self.hash, SHINGLE) if len(self.hash) else self.hash
+        self.places = cut([len(x.split()) for x in text.split(b"\n")], self.hash, ends)
+        if not self.places:
+            self.sets = []
+            return
+        begin, end = np.array(self.places).T
+        size = end - begin - SHINGLE + 1
+        self.begin = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(size)), size)
+        self.mine = self.shingles[np.arange(len(owner)) + np.repeat(begin - self.begin, size)]
+        order = np.lexsort((self.mine, owner))  # owners stay in their places
+        s = self.mine[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
+        self.sets = np.split(s[new], np.cumsum(np.bincount(owner[new]))[:-1])
+
+    def signatures(self, m: int) -> list[bytes]:
+        low = np.full((len(self.places), m), 2**64 - 1, np.uint64)
+        if self.places:
+            for a, b in zip(range(0, len(low), 512), range(512, len(low) + 512, 512), strict=True):
+                first, last = self.begin[a], self.begin[b] if b < len(low) else len(self.mine)
+                low[a:b] = np.minimum.reduceat(similar.coordinates(self.mine[first:last], m), self.begin[a:b] - first)
+        return [x.tobytes() for x in (low >> np.uint64(32)).astype("<u4")]
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, n_words, cid, sig, a row per paragraph."""
+    """doc_id, start_word, n_words, cid, sig, a row per paragraph and per stretch; sig is null for a stretch."""
 
     def run(batches):
+        vocabulary = Vocabulary()
         for batch in batches:
-            rows = []
+            doc_id, start, n, cid, sig = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                for start, words in cut(text):
-                    s = similar.shingle_set(words, SHINGLE)
-                    rows.append((doc, start, len(words), similar.class_id(s), similar.signature(s, BANDS * ROWS)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+                own = Text(text, vocabulary)
+                at, name = spans(own.hash, own.shingles)
+                start += [a for a, _ in own.places] + at.tolist()
+                n += [b - a for a, b in own.places] + [SPAN] * len(at)
+                cid += [similar.class_id(s) for s in own.sets] + name.tolist()
+                sig += own.signatures(BANDS * ROWS) + [None] * len(at)
+                doc_id += [doc] * (len(own.places) + len(at))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start_word", "n_words", "cid", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc_id, start, n, cid, sig), kinds, strict=True)], names=["doc_id", "start_word", "n_words", "cid", "sig"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInArrow(run, "doc_id long, start_word long, n_words long, cid long, sig binary")
@@ -84,12 +182,12 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """cid, members for the wanted classes (an array column) of each document."""
 
     def run(batches):
+        vocabulary = Vocabulary()
         for batch in batches:
             rows = []
             for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 wanted = set(wanted)
-                for _, words in cut(text):
-                    s = similar.shingle_set(words, SHINGLE)
+                for s in Text(text, vocabulary).sets:
                     if (cid := similar.class_id(s)) in wanted:
                         rows.append((cid, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "members"])
@@ -144,7 +242,7 @@ def _late_links(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, start_word, n_words, cluster_id, copies, removed: every paragraph that has an equal or a similar one."""
+    """doc_id, start_word, n_words, cluster_id, copies, removed: every paragraph that has an equal or a similar one, every stretch that has an equal one."""
     known = stash(sketch(docs))
     classes = stash(known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("n")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -153,7 +251,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         wanted = classes.join(cids, "cid").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("cid").alias("wanted"))  # at most a document's paragraphs
         return sets_of(texts.join(wanted, "doc_id")).groupBy("cid").agg(F.first("members").alias("members"))
 
-    posts = classes.select(F.explode(bands_of(F.col("sig"))).alias("key"), "cid")
+    posts = classes.where("sig is not null").select(F.explode(bands_of(F.col("sig"))).alias("key"), "cid")
     heads = posts.groupBy("key").agg(F.min("cid").alias("head"), F.count("*").alias("n")).where("n > 1")
     posts = stash(posts.join(heads, "key"))
     first = stash(posts.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct())

@@ -32,28 +32,37 @@ COORD_MUL = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 COORD_ADD = _rng.integers(0, 2**63, 64, dtype=np.uint64)
 
 
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of n-word shingles; of the whole sequence when it is shorter; empty without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def shingles_of(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of n-word shingles, in order, from the words' hashes; of the whole sequence when it is shorter."""
     n = min(n, len(h))
     s = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         s = (s ^ (s >> np.uint64(29))) * WORD_MIX[0] + h[k : k + len(s)] * WORD_MIX[k + 1 & 15]
     s ^= s >> np.uint64(32)
     s *= WORD_MIX[15]
-    return np.unique(s ^ (s >> np.uint64(29)))
+    return s ^ (s >> np.uint64(29))
+
+
+def shingle_set(words: list[bytes], n: int) -> np.ndarray:
+    """Sorted distinct shingle hashes; empty without words."""
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(shingles_of(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), n))
+
+
+def coordinates(shingles: np.ndarray, m: int) -> np.ndarray:
+    """m hashes of each shingle."""
+    h = (shingles[:, None] ^ COORD_ADD[:m]) * COORD_MUL[:m]
+    h ^= h >> np.uint64(31)
+    h *= COORD_MUL[63 : 63 - m : -1]
+    return h
 
 
 def signature(shingles: np.ndarray, m: int) -> bytes:
     """m minima as little-endian uint32."""
     out = np.full(m, 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 4096):
-        h = (shingles[at : at + 4096, None] ^ COORD_ADD[:m]) * COORD_MUL[:m]
-        h ^= h >> np.uint64(31)
-        h *= COORD_MUL[63 : 63 - m : -1]
-        np.minimum(out, h.min(0), out=out)
+        np.minimum(out, coordinates(shingles[at : at + 4096], m).min(0), out=out)
     return (out >> np.uint64(32)).astype("<u4").tobytes()
 
 
