@@ -168,3 +168,14 @@ def test_short_lines_take_part_as_paragraphs(spark):
     wrap = lambda ws: "\n".join(" ".join(ws[i : i + 6]) for i in range(0, 54, 6))
     found = paragraphs.repeats(spark.createDataFrame([(1, wrap(words)), (2, wrap(other))], "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["n_words"]) for r in found} >= {(1, 54), (2, 54)}
+
+
+def test_pipeline_compares_five_words(spark):
+    """Two changed words among 80: 69 / 85 of the four-word shingles are common, 66 / 86 of the five-word ones."""
+    import corpus_pipeline
+
+    words = [f"u{i}" for i in range(80)]
+    other = [*words[:30], "x", *words[31:50], "y", *words[51:]]
+    both = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, both, "").count() == 2
+    assert neardup.keep_first(both).count() == 1

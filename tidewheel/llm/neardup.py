@@ -76,7 +76,7 @@ def components_of(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns."""
-    kept = stash(components_of(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct())
+    kept = stash(components_of(docs, shingle).where("kept").select(F.col("doc_id").alias("_kept")).distinct())
     return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
