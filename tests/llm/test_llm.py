@@ -179,3 +179,14 @@ def test_pipeline_compares_five_words(spark):
     both = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert corpus_pipeline.near_dedup(spark, both, "").count() == 2
     assert neardup.keep_first(both).count() == 1
+
+
+def test_html_threshold_decides_on_every_page():
+    body = "".join(f"<p>Sentence {k} of the body, which is <b>long enough</b> <i>to count</i>, stands here. " + "More words follow, and more. " * 8 + "</p>" for k in range(6))
+    junk = "<div class=tags>" + "".join(f"<a href=/{k}>tag{k}</a> " for k in range(30)) + "</div>"
+    within = html_paths.main_text(f"<article><h1>A heading of some words</h1>{body}{junk}</article>")
+    without = html_paths.main_text(f"<div><h1>A heading of some words</h1>{body}</div>{junk}")
+    beside = html_paths.main_text(f"<article><h3>Teaser</h3><p>Read on.</p></article><div id=body>{body}</div>")
+    for text in (within, without, beside):
+        assert "tag3" not in text and "long enough to count" in text and "Sentence 5" in text
+    assert within == without and within.startswith("A heading")

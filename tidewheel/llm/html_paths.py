@@ -3,8 +3,8 @@
 A page becomes a sequence of text nodes, each with its root-to-leaf tag path (tag names with class and id words).
 Per path: text length and punctuation per node.  Both ratios are smoothed along the page, fused into one score, and
 paths above the page's threshold are content.  Sections that HTML names as something else than the article (nav,
-footer, aside, forms, scripts, or class words such as ad or comments) score nothing; inside an <article> or <main>
-that holds text every other path is content, since there the page itself names it.
+footer, aside, forms, scripts, or class words such as ad or comments) score nothing; an <article> or <main> around a
+node weighs SCOPE_WEIGHT times in its fused score, and no more than that.
 
 Null or empty html gives an empty text.  Unclosed and stray tags are repaired as browsers do: a block start closes an open
 paragraph, an end tag without a start is ignored, end of input closes all.  Scanning is linear in the page.
@@ -36,10 +36,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = ("article", "main")
 SMOOTH = 2
 SIGMAS = 0.5
+SCOPE_WEIGHT = 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+#: Tags at a path's end that only mark words of a text.
+_INLINE = re.compile(r"(?:/(?:b|i|em|strong|u|s|small|sub|sup|mark|code|span|font|abbr|cite|q|time|tt|var|kbd|samp|del|ins)(?:\.[a-z0-9]+)*)+\Z")
 _SPACE = re.compile(r"\s+")
 _PUNCT = ".,;:!?…。，！？"
 
@@ -135,25 +138,24 @@ def smooth(x: np.ndarray, radius: int = SMOOTH) -> np.ndarray:
 def content_mask(nodes: list[_Node]) -> np.ndarray:
     """Which text nodes belong to the article."""
     ids: dict[str, int] = {}
-    path = np.array([ids.setdefault(n.path, len(ids)) for n in nodes])
+    path = np.array([ids.setdefault(_INLINE.sub("", n.path), len(ids)) for n in nodes])
     noise = np.array([n.noise for n in nodes])
     scope = np.array([n.scope for n in nodes])
     size = np.array([len(n.text.strip()) for n in nodes], float)
     marks = np.array([sum(map(n.text.count, _PUNCT)) for n in nodes], float)
-    count = np.bincount(path).astype(float)
-    length_ratio = np.bincount(path, size) / count
-    mark_ratio = np.bincount(path, marks) / count
-    fused = smooth(length_ratio[path]) * (1 + smooth(mark_ratio[path]))
-    fused[noise] = 0
-    score = np.bincount(path, fused) / count  # one score per path
     open_to = ~noise & (size > 0)
     if not open_to.any():
         return open_to
-    if (scope & open_to).any():
-        return scope & ~noise
-    ranked = score[np.unique(path[open_to])]
-    threshold = min(ranked.max() * 0.5, SIGMAS * ranked.std())
-    return ~noise & (score[path] >= threshold)
+    own = path[open_to]
+    count = np.maximum(np.bincount(own, minlength=len(ids)), 1).astype(float)
+    length_ratio = np.bincount(own, size[open_to], len(ids)) / count
+    mark_ratio = np.bincount(own, marks[open_to], len(ids)) / count
+    fused = smooth(length_ratio[own]) * (1 + smooth(mark_ratio[own]))
+    plain = (np.bincount(own, fused, len(ids)) / count)[np.unique(own)]
+    threshold = min(plain.max() * 0.5, SIGMAS * plain.std())
+    fused[scope[open_to]] *= SCOPE_WEIGHT
+    score = np.bincount(own, fused, len(ids)) / count  # one score per path
+    return ~noise & ((score[path] >= threshold) | (size == 0))  # blanks part the words of a block
 
 
 def main_text(page: str | None) -> str:
