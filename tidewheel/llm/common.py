@@ -16,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none."""
+    """The shared folder that the cluster names; a temporary one only in local mode, where all share this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return shared or os.path.join(tempfile.gettempdir(), "tidewheel-scratch")
 
 
@@ -61,8 +63,8 @@ def stable_order(*cols: str) -> Column:
 
 
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """At most so many rows, first in a hash order.  A hash threshold goes first, so that tasks send about 1.5 x rows in all."""
-    order, n = stable_order(*by), df.count()
+    """At most so many rows, first in a hash order.  A threshold on that order goes first, so that tasks send about 1.5 x rows in all."""
+    order, n = F.pmod(stable_order(*by), F.lit(2**31 - 1)), df.count()
     if n > 2 * rows:
-        df = df.where(F.pmod(order, F.lit(2**31 - 1)) < F.lit(int((2**31 - 1) * 1.5 * rows / n)))
-    return df.orderBy(order).limit(rows)
+        df = df.where(order < F.lit(int((2**31 - 1) * 1.5 * rows / n)))
+    return df.orderBy(order, *by).limit(rows)

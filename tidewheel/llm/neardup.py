@@ -6,7 +6,9 @@ agree in at least LEAST of them but for 4 in 100,000 pairs, so it is enough to p
 COORDS - LEAST + 1 coordinate-value pairs (prefix) and to count the other coordinates only for pairs that meet (skip).
 Pairs with LEAST agreements are confirmed on their full sets.
 
-Null or empty text, or no words: no set, linked with nothing, kept.  Exact copies share a class of any size.
+Null or empty text, or no words: no set, linked with nothing, kept.  Exact copies, repeated rows among them, share a class
+of any size.  An empty table gives an empty result.  Of ties the smallest id decides.  Very long texts cost their length.
+Other columns are ignored, whatever their names; `keep_first` passes them on.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import similar
 from .common import stash
@@ -56,27 +59,65 @@ def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "cid long, members binary")
 
 
-def components_of(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document row."""
+def _classes(docs: DataFrame, shingle: int, percent: int, coords: int, least: int, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n_shingles, cid), and the class of every set: cid, at (its least doc_id), component_id, keeper (its component's class to keep)."""
     known = stash(sketch(docs, shingle, coords))
-    classes = stash(known.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
+    classes = stash(known.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("at"), F.min("sig").alias("sig"), F.count("*").alias("copies"), F.min("n_shingles").alias("size")))
     text_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def fetch(cids: DataFrame) -> DataFrame:
-        reps = classes.join(cids, "cid").select(F.col("rep").alias("doc_id")).distinct()
-        sets = sets_of(text_of.join(reps, "doc_id", "left_semi"), shingle)
-        return sets.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members"))
+    def fetch(places: DataFrame) -> DataFrame:
+        sets = sets_of(text_of.join(places, text_of["doc_id"].eqNullSafe(places["at"]), "left_semi"), shingle)
+        return sets.groupBy("cid").agg(F.min("members").alias("members"))
 
-    roots = similar.roots(classes, fetch, coords=coords, least=least, percent=percent)
-    rooted = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid")
-    first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = rooted.join(first, "root").select("cid", "component_id")
-    by_class = classes.select("cid", "rep").join(linked, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    roots = similar.roots(classes, fetch, coords=coords, least=least, percent=percent, **limits)
+    linked = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid").select("cid", "at", "root")
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("at").isNull(), "at", "cid")).alias("first"))
+    named = linked.join(first, "root").select("cid", F.col("first.at").alias("component_id"), F.col("first.cid").alias("keeper"))
+    alone = classes.select("cid", "at").join(named, "cid", "left")
+    return known, alone.select("cid", F.coalesce("component_id", "at").alias("component_id"), F.coalesce("keeper", "cid").alias("keeper"))
+
+
+def components_of(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coords: int = COORDS, least: int = LEAST, **limits: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document row.
+
+    A null doc_id is larger than all others; a document of such ones alone has a null component_id and is kept.
+    """
+    known, by_class = _classes(docs, shingle, percent, coords, least, limits)
     out = known.select("doc_id", "n_shingles", "cid").join(by_class, "cid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, **limits: int) -> DataFrame:
+    """The row of each component with the smallest id, and every row without a set, with all columns.
+
+    Of rows with that id in one component, one of the class named by `keeper` stays.  A null id is larger than all others.
+    Rows with one id and texts of different components each stand for themselves.  Where an id is on one row only, the
+    choice is a semi join on ids; only rows whose id is null or repeated are shingled again, to tell them apart.
+    """
+    known, by_class = _classes(docs, shingle, PERCENT, COORDS, LEAST, limits)
+    chosen = known.join(by_class.withColumnRenamed("cid", "_class"), F.col("cid") == F.col("_class"), "left")
+    kept = F.col("cid").isNull() | ((F.col("cid") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_id = stash(chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max(kept).alias("_kept")).where("_kept").drop("_kept"))
+    single = by_id.where("_id is not null and _rows = 1").select("_id")
+    plain = docs.join(single, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    several = by_id.where("_id is null or _rows > 1").select("_id")
+    if several.isEmpty():
+        return plain
+    doubtful = docs.join(several, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    told = _with_class(doubtful, shingle)
+    keepers = by_class.where("cid = keeper").select(F.col("cid").alias("_keeper"), F.col("component_id").alias("_first"))
+    same = (F.col("_cid") == F.col("_keeper")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first"))
+    first = told.join(keepers, same, "left_semi").dropDuplicates(["_cid"])
+    return plain.unionByName(told.where("_cid is null").drop("_cid")).unionByName(first.drop("_cid"))
+
+
+def _with_class(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows with the class of their set in _cid."""
+    at = docs.columns.index("text")
 
+    def run(batches):
+        for batch in batches:
+            sets = [similar.shingle_set(_words(t), shingle) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.append_column("_cid", pa.array([similar.class_id(s) if len(s) else None for s in sets], pa.int64()))
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns."""
-    kept = stash(components_of(docs, shingle).where("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))

@@ -1,12 +1,14 @@
 """Links between similar sets from posting lists of their signatures, without all pairs of a list.
 
 Each set (class id, signature) is posted under some coordinate-value pairs such that similar sets share one.  First every
-member of a list is held against the list's member with most copies; confirmed links make components.  Only lists that
+member of a list is held against the list's head, the member with most copies, by counting the coordinates in which their
+signatures agree; what agrees often enough is confirmed on the full sets, and confirmed links make components.  Only lists that
 still hold several components are looked at again: members that agree enough with one of another component are told
 by their signatures, and only those meet, with their full sets, in one task that yields the links which connect
 components.  So each pair that shares a key and agrees enough is either confirmed or already connected, and no list yields
-more links than it has members.  A pair is looked at in the list of its first common coordinates alone.  Lists over
-LIST_LIMIT members are divided by further coordinates, then into pairs of blocks: work is spread, none is left out.
+more links than it has members.  There a pair is looked at in the list of its first common coordinates alone.  Lists over
+LIST_LIMIT members are cut into pairs of blocks, the longest after a division by further coordinates: work is spread, none
+is left out.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 from .components import components
 
-LIST_LIMIT = 8_192
+LIST_LIMIT = 4_096
+#: Lists of so many members are divided by further coordinates before they are cut into blocks.
+DIVISION = 65_536
 #: Shingles that one task holds at a time when it compares full sets; longer lists are cut into blocks.
-MEMBER_LIMIT = 2_000_000
+MEMBER_LIMIT = 1_000_000
+#: Groups over which the pairs of one head are dealt.
+GROUPS = 256
 #: Odd multipliers that mix the words of a shingle, and those of the signature's coordinates.
 _rng = np.random.default_rng(20_011)
 WORD_MIX = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -76,38 +82,51 @@ def coordinate(sig: Column, j: int) -> Column:
     return F.lit(j << 32) + F.conv(F.hex(F.substring(sig, 4 * j + 1, 4)), 16, 10).cast("long")
 
 
-def agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in at least so many coordinates."""
-    a, b = sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb"))
+def starred(posted: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of a list's head and another member that agree in at least so many coordinates, with their places."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= least)) if batch.num_rows else batch.select([0, 1])
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (4, 5))
+                yield batch.select([0, 1, 2, 3]).filter(pa.array((x == y).sum(1) >= least))
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    rows = posted.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"), F.col("head_at").alias("a_at"), F.col("at").alias("b_at"), "head_sig", "sig")
+    kind = posted.schema["at"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a long, b long, a_at {kind}, b_at {kind}").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets."""
-    a, b = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
+    """The distinct pairs (a, b) with 100 * intersection >= percent * union, on the full sets (cid, members).
+
+    The pairs of one a are dealt over GROUPS groups, and its set goes to each group once: a hot a neither meets all its
+    partners in one task nor travels with each of them.  Rows stream through; a task holds one set of a and one batch.
+    """
+    own = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(GROUPS)).cast("int").alias("salt"), F.col("b").alias("cid"))
+    heads = own.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("cid"))
+    rows = own.unionByName(heads).join(sets, "cid").select("a", "salt", (F.col("cid") != F.col("a")).alias("second"), F.col("cid").alias("b"), "members")
 
     def run(batches):
+        a, mine = None, np.empty(0, np.uint64)
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for head, second, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
+                x = np.frombuffer(members.as_buffer(), np.uint64)
+                if not second:
+                    a, mine = head, x.copy()
+                    ok.append(False)
+                    continue
+                both = len(np.intersect1d(mine, x, assume_unique=True)) if a == head else 0
+                ok.append(a == head and 100 * both >= percent * (len(mine) + len(x) - both))
+            yield batch.select([0, 3]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "second", "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def by_list(lists: DataFrame, each: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """each applied to the rows of every key, of bounded number."""
     kinds = dict(part.split() for part in schema.split(", "))
-    arrow = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    arrow = {"long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
     def batch_of(out):
         cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
@@ -194,54 +213,72 @@ def blocked(lists: DataFrame, limit: int, weight: Column | None = None) -> DataF
     return out.withColumn("key", F.when(F.col("_blocks") == 1, F.col("key")).otherwise(pair)).select(*lists.columns)
 
 
-def divided(lists: DataFrame, coords: int, least: int, limit: int, times: int = 2) -> DataFrame:
-    """Lists (key, path, cid, root, sig) of several components, those over the limit divided by the next common coordinate.
+def divided(lists: DataFrame, coords: int, least: int, limit: int, division: int, times: int = 2) -> DataFrame:
+    """Lists (key, path, cid, root, sig, at, size) of several components, with their lengths n; `division` members or more are told apart by the next common coordinate, what is over the limit then by blocks.
 
     A pair with `least` agreements has its k-th one among the first coords - least + k coordinates.
     """
-
-    def mixed(x):
-        n = x.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        return x.join(n.select("key", "n"), "key")
-
-    now = mixed(lists)
-    small, large = now.where(F.col("n") <= limit).drop("n"), now.where(F.col("n") > limit).drop("n")
+    small, over = lists.where(F.col("n") <= limit).drop("n"), lists.where(F.col("n") > limit)
+    if over.isEmpty():
+        return small
+    middle, large = over.where(F.col("n") < division).drop("n"), over.where(F.col("n") >= division).drop("n")
+    if large.isEmpty():
+        return small.unionByName(blocked(middle, limit))
     for k in range(1, times + 1):
         large = large.withColumn("next", F.explode(F.sequence(F.element_at("path", -1) + 1, F.lit(coords - least + k))))
         large = large.withColumn("path", F.concat("path", F.array("next"))).withColumn("key", F.expr("xxhash64(key, next, substring(sig, 4 * next + 1, 4))")).drop("next")
-        again = mixed(large)
-        small, large = small.unionByName(again.where(F.col("n") <= limit).drop("n")), again.where(F.col("n") > limit).drop("n")
-    return small.unionByName(blocked(large, limit))
+        mixed = large.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        large = stash(large.join(mixed.select("key", "n"), "key"))
+        small, large = small.unionByName(large.where(F.col("n") <= limit).drop("n")), large.where(F.col("n") > limit).drop("n")
+    return small.unionByName(blocked(middle.unionByName(large), limit))
 
 
-def roots(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, coords: int, least: int, percent: int, limit: int = LIST_LIMIT, member_limit: int = MEMBER_LIMIT) -> DataFrame:
+def posted_lists(sketches: DataFrame, keys: Column) -> DataFrame:
+    """key, cid, sig, at, size, n, head, head_at, head_sig: the members of every list with several, beside the one with most copies."""
+    posts = sketches.select(F.explode(keys).alias("key"), "cid", "sig", "at", "size", "copies")
+    top = F.max(F.struct("copies", "cid", "at", "sig")).alias("top")
+    heads = posts.groupBy("key").agg(top, F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("key", "n", F.col("top.cid").alias("head"), F.col("top.at").alias("head_at"), F.col("top.sig").alias("head_sig"))
+    return posts.drop("copies").join(heads, "key")
+
+
+def mixed_lists(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """key, cid, sig, at, size, n, root of the lists that hold several components."""
+    named = posted.where("n > 2").select("key", "cid", "sig", "at", "size", "n").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    named = named.withColumn("root", F.coalesce("root", "cid"))
+    open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return named.join(open_keys, "key", "left_semi")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The distinct places of both ends."""
+    return pairs.select(F.col("a_at").alias("at")).unionByName(pairs.select(F.col("b_at").alias("at"))).distinct()
+
+
+def roots(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, coords: int, least: int, percent: int, limit: int = LIST_LIMIT, division: int = DIVISION, member_limit: int = MEMBER_LIMIT) -> DataFrame:
     """(node, root) of all classes linked to another one.
 
-    sketches: one row per class, (cid, sig, copies, size of the set).  fetch: classes (cid) -> their full sets (cid,
-    members).  least: of the coords coordinates, how many must agree.  percent: of the union that must be shared.
+    sketches: one row per class, (cid, sig, copies, size of the set, at: where to find it).  fetch: places (at) -> the
+    full sets (cid, members) found there, a row per class.  least: of the coords coordinates, how many must agree.
+    percent: of the union that must be shared.
     """
-    sigs = sketches.select("cid", "sig")
     prefix = F.array(*[coordinate(F.col("sig"), j) for j in range(coords - least + 1)])
-    posts = sketches.select(F.explode(prefix).alias("key"), "cid", "copies")
-    heads = posts.groupBy("key").agg(F.max(F.struct("copies", "cid"))["cid"].alias("head"), F.count("*").alias("n")).where("n > 1")
-    posts = stash(posts.drop("copies").join(heads, "key"))  # from here on, lists with several members only
-    to_head = posts.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    first = stash(agreeing(to_head, sigs, least))
-    links = stash(confirm(first, stash(fetch(_both(first))), percent))
-    found = stash(components(links))
-    named = posts.where("n > 2").select("key", "cid").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rest = named.join(open_keys, "key", "left_semi").join(sigs, "cid")
-    rest = stash(rest.select("key", F.array(F.shiftright("key", 32).cast("int")).alias("path"), "cid", "root", "sig"))
-    schema = "key long, path array<int>, cid long, root long, sig binary"
-    some = stash(by_list(divided(rest, coords, least, limit), lambda rows: promising(rows, least), schema))
+    posted = stash(posted_lists(sketches, prefix))
+    first = stash(starred(posted, least))
+    links = stash(confirm(first, fetch(ends_of(first)), percent))
+    found = components(links)
+    path = F.array(F.shiftright("key", 32).cast("int")).alias("path")
+    rest = stash(mixed_lists(posted, found).select("key", path, "cid", "root", "sig", "at", "size", "n"))
+    discard(posted, first)
+    kind = sketches.schema["at"].dataType.simpleString()
+    schema = f"key long, path array<int>, cid long, root long, sig binary, at {kind}, size long"
+    some = stash(by_list(divided(rest, coords, least, limit, division), lambda rows: promising(rows, least), schema))
     if some.isEmpty():
+        discard(rest, some, links)
         return found
-    lists = blocked(some.join(sketches.select("cid", "size"), "cid"), member_limit, F.col("size")).drop("size")
-    full = lists.join(stash(fetch(some.select("cid").distinct())), "cid").select("key", "path", "cid", "root", "sig", "members")
+    lists = blocked(some, member_limit, F.col("size")).drop("size", "at")
+    full = lists.join(fetch(some.select("at").distinct()), "cid").select("key", "path", "cid", "root", "sig", "members")
     more = stash(by_list(full, lambda rows: connecting(rows, least, percent), "a long, b long"))
-    return found if more.isEmpty() else stash(components(links.unionByName(more)))
-
-
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    out = found if more.isEmpty() else components(links.unionByName(more))
+    discard(rest, some, links, more, *([found] if out is not found else []))
+    return out
