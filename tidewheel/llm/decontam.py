@@ -2,13 +2,17 @@
 
 Texts are sequences of lower-cased words.  A CGK random walk copies a window into a string three times as long, staying
 or stepping on by a random bit per (step, symbol), so that windows at a small edit distance agree in most places of
-their embeddings.  Each of REPEATS walks samples PLACES places; an item and an item-sized window with equal samples are
-a candidate, and an exact semi-global edit distance over words decides: at most (1 - SIMILARITY) of the item's words.
+their embeddings.  Each walk samples PLACES places; an item and an item-sized window with equal samples are a candidate,
+and an exact semi-global edit distance over words decides: at most (1 - SIMILARITY) of the item's words.  The number of
+walks is the least that reaches RECALL on altered items of the benchmark itself (`Finder.calibrate`).
 
 Windows with too few words of the items of their size, or without a run of RUN words of some item where so few edits
 must leave one, can't be within that distance and are not embedded; this filter loses nothing.  Items are held in memory in parts of at most PART_CHARS characters; more items mean more passes.
 
-Null or empty texts and items match nothing.  Every row is scanned whole and alone, so copies and hot sources are harmless.
+Null or empty texts and items match nothing, nor do items without an id; a null doc_id is kept as it is.  Empty tables give
+empty results.  Every row is scanned whole and alone, so copies, repeated rows and hot sources are harmless, and very long
+texts cost their length.  Items that share an id count as one, the most similar text of which is reported; of equally
+good places the earliest is.  Other columns are ignored, whatever their names; `drop_leaky` passes them on.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-REPEATS = 10
+#: Share of items found that were altered by all the edits allowed; the number of walks follows from it.
+RECALL = 0.97
 PLACES = 3
+MOST_REPEATS = 64
+TRIED = 128
 RUN = 3
-PART_CHARS = 16_000_000
+PART_CHARS = 4_000_000
 BATCH_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 _KEY = np.uint64(0x9E3779B97F4A7C15)
@@ -35,22 +42,42 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _column_scores(item: list[int], region: list[int], anchored: bool) -> list[int]:
+    """Edits between the item and the best stretch that ends after 0, 1, ... words of the region; anchored: that starts at its first word.
+
+    Myers' bit-parallel columns, one integer of the item's length per word of the region.
+    """
+    n, at = len(item), {}
+    for i, x in enumerate(item):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, score, out = full, 0, n, [n]
+    for y in region:
+        eq = at.get(y, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq
+        vertical = eq | down
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        score += (right & last > 0) - (left & last > 0)
+        right, left = (right << 1) | anchored, left << 1
+        up, down = (left | ~(vertical | right)) & full, right & vertical & full
+        out.append(score)
+    return out
+
+
 def infix_distance(item: list[int], region: list[int]) -> tuple[int, int, int]:
-    """Least edits between the item and any stretch of the region, with that stretch's start and end (earliest, shortest)."""
-    row = [(0, j) for j in range(len(region) + 1)]
-    for i, x in enumerate(item, 1):
-        new = [(i, row[0][1])]
-        for j, y in enumerate(region, 1):
-            new.append(min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
-        row = new
-    end = min(range(len(row)), key=lambda j: (row[j][0], row[j][1], j))
-    return row[end][0], row[end][1], end
+    """Least edits between the item and any stretch of the region, with that stretch's start and end (earliest end, then earliest start)."""
+    scores = _column_scores(item, region, False)
+    least = min(scores)
+    end = scores.index(least)
+    back = _column_scores(item[::-1], region[:end][::-1], True)
+    length = max(k for k, x in enumerate(back) if x == least)
+    return least, end - length, end
 
 
 class Finder:
     """Finds leaked items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, repeats: int = REPEATS, places: int = PLACES, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL, places: int = PLACES, seed: int = 11):
         cut = [(i, words_of(t)) for i, t in items]
         self.vocab: dict[str, int] = {}
         for _, ws in cut:
@@ -58,25 +85,25 @@ class Finder:
                 self.vocab.setdefault(w, len(self.vocab) + 1)
         self.items = [(i, [self.vocab[w] for w in ws]) for i, ws in cut if ws]
         self.loss = 1 - similarity
-        longest = max((len(x) for _, x in self.items), default=1)
         rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (repeats, 3 * longest, len(self.vocab) + 1), dtype=np.int8) if len(self.vocab) * longest * 3 * repeats < 4e8 else None
-        self.salt = rng.integers(1, 2**63, (repeats, 3 * longest), dtype=np.uint64) | np.uint64(1)
+        longest = max((len(x) for _, x in self.items), default=1)
+        self.salt = rng.integers(1, 2**63, (MOST_REPEATS, 3 * longest), dtype=np.uint64) | np.uint64(1)
         self.sizes: dict[int, list[int]] = {}
         for k, (_, x) in enumerate(self.items):
             self.sizes.setdefault(len(x), []).append(k)
-        item_runs = {n: np.unique(np.concatenate([self.runs(np.array(self.items[k][1], np.int64)) for k in of])) for n, of in self.sizes.items()}
-        self.item_runs = item_runs
-        self.run_table = np.zeros(1 << 24, bool)
-        for keys in item_runs.values():
-            self.run_table[keys >> np.uint64(40)] = True
-        self.samples = {n: [np.sort(rng.choice(max(places, 2 * n), places, replace=False)) for _ in range(repeats)] for n in self.sizes}
+        self.samples = {n: [np.sort(rng.choice(max(places, 2 * n), places, replace=False)) for _ in range(MOST_REPEATS)] for n in self.sizes}
+        self.repeats = self.calibrate(recall, rng)
+        self.item_runs = {n: np.unique(np.concatenate([self.runs(np.array(self.items[k][1], np.int64)) for k in of])) for n, of in self.sizes.items()}
+        self.run_table = np.zeros(1 << 20, bool)
+        for keys in self.item_runs.values():
+            self.run_table[keys >> np.uint64(44)] = True
+        self.whole = any(not self.by_runs(n) for n in self.sizes)  # some items can match without a common run
         self.known, self.buckets = {}, {}
         for n, of in self.sizes.items():
             self.known[n] = np.zeros(len(self.vocab) + 1, bool)
             self.known[n][[s for k in of for s in self.items[k][1]]] = True
             flat = np.array([s for k in of for s in self.items[k][1]], np.int64)
-            for r in range(repeats):
+            for r in range(self.repeats):
                 begin = np.arange(len(of)) * n
                 keys = self.embed(flat, begin, begin + n, n, r)
                 order = np.argsort(keys, kind="stable")
@@ -86,23 +113,42 @@ class Finder:
         """Edits allowed in an item of n words."""
         return int(self.loss * n + 1e-9)
 
-    def steps(self, r: int, j: int, symbols: np.ndarray) -> np.ndarray:
-        """The walk's random bits."""
-        if self.bits is not None:
-            return self.bits[r, j][symbols]
-        return ((symbols.astype(np.uint64) * self.salt[r, j]) >> np.uint64(63)).astype(np.int8)
+    def by_runs(self, n: int) -> bool:
+        """Whether RUN words on end of an item must stay after that many edits."""
+        slack = self.slack(n)
+        return n >= RUN and -(-(n - slack) // (slack + 1)) >= RUN
+
+    def calibrate(self, recall: float, rng: np.random.Generator) -> int:
+        """The fewest walks that find the share `recall` of items altered by all the edits allowed, tried on items of this benchmark."""
+        rows = [self.items[k][1] for k in rng.permutation(len(self.items))[:TRIED] if self.slack(len(self.items[k][1]))]
+        first = []
+        for item in rows:
+            n, slack = len(item), self.slack(len(item))
+            for _ in range(max(1, TRIED // len(rows))):
+                text = list(item)
+                for _ in range(slack):
+                    at, kind = int(rng.integers(len(text))), int(rng.integers(3))
+                    text[at : at + (kind != 0)] = [0] if kind < 2 else []
+                text = np.array([0] * slack + text + [0] * (n + slack))
+                begin = np.arange(2 * slack + 1)
+                own = np.array(item)
+                one, zero = np.array([n]), np.array([0])
+                hit = (r for r in range(MOST_REPEATS) if (self.embed(text, begin, begin + n, n, r) == self.embed(own, zero, one, n, r)[0]).any())
+                first.append(next(hit, MOST_REPEATS) + 1)
+        return min(MOST_REPEATS, int(np.ceil(np.quantile(first, recall, method="higher")))) if first else 1
 
     def embed(self, ids: np.ndarray, starts: np.ndarray, stop: np.ndarray, n: int, r: int) -> np.ndarray:
-        """A hash of the sampled places of the windows' embeddings; past its end a window reads symbol 0."""
+        """A hash of the sampled places of the windows' embeddings; past its end a window reads symbol 0.  The walk's bits are hashes of (step, symbol)."""
         at = starts.copy()
         key = np.zeros(len(starts), np.uint64)
         wanted = set(self.samples[n][r].tolist())
         for j in range(max(wanted) + 1):
-            symbol = np.where(at < stop, ids[np.minimum(at, len(ids) - 1)], 0)
+            symbol = np.where(at < stop, ids[np.minimum(at, len(ids) - 1)], 0).astype(np.uint64) + np.uint64(1)
             if j in wanted:
-                key = (key + symbol.astype(np.uint64) + np.uint64(1)) * _KEY
+                key = (key + symbol) * _KEY
                 key ^= key >> np.uint64(31)
-            at += self.steps(r, j, symbol)
+            bit = symbol * self.salt[r, j]
+            at += ((bit ^ (bit >> np.uint64(29))) * _KEY >> np.uint64(63)).astype(np.int64)
         return key
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
@@ -113,7 +159,15 @@ class Finder:
             while at + len(part) < len(texts) and (not part or size < BATCH_WORDS):
                 part.append(words_of(texts[at + len(part)]))
                 size += len(part[-1])
-            out += [(at + i, *rest) for i, *rest in self._find(part)]
+            lens = np.array([len(w) for w in part])
+            ids = np.fromiter(map(self.vocab.get, chain.from_iterable(part), repeat(0)), np.int32, int(lens.sum()))
+            begin = np.cumsum(lens) - lens
+            some = np.arange(len(part))
+            if not self.whole:  # only texts with a run of some item
+                hits = np.flatnonzero(self.run_table[self.runs(ids) >> np.uint64(44)])
+                some = np.unique(np.searchsorted(begin, hits, side="right") - 1)
+            for i, *rest in self._find([ids[begin[k] : begin[k] + lens[k]] for k in some]):
+                out.append((at + int(some[i]), *rest))
             at += len(part)
         return out
 
@@ -124,58 +178,60 @@ class Finder:
             key = (key + ids[k : k + len(key)].astype(np.uint64)) * _KEY
         return key
 
-    def _find(self, cut: list[list[str]]) -> list[tuple[int, int, int, int, int, int]]:
-        if not self.items:
+    def _find(self, cut: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
+        if not self.items or not cut:
             return []
         gap = max(self.sizes)  # unknown words between texts, so that no window spans two
         lens = np.array([len(w) for w in cut])
         starts = np.cumsum(lens + gap) - lens - gap
         ends = starts + lens
         ids = np.zeros(int(ends[-1]) + gap, np.int32)
-        inside = np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
-        ids[inside] = np.fromiter(map(self.vocab.get, chain.from_iterable(cut), repeat(0)), np.int32, len(inside))
+        for begin, w in zip(starts, cut, strict=True):
+            ids[begin : begin + len(w)] = w
         run = self.runs(ids)
-        maybe = np.flatnonzero(self.run_table[run >> np.uint64(40)])
+        maybe = np.flatnonzero(self.run_table[run >> np.uint64(44)])
         run = run[maybe]
-        candidates: set[tuple[int, int]] = set()
+        candidates: dict[tuple[int, int], set[int]] = {}
         sums = np.zeros(len(ids) + 1, np.int32)
         for n in self.sizes:
-            slack = self.slack(n)
-            np.cumsum(self.known[n][ids], out=sums[1:])
-            enough = sums[n:] - sums[:-n] >= n - slack
-            if n >= RUN and -(-(n - slack) // (slack + 1)) >= RUN:
+            if self.by_runs(n):
                 own = self.item_runs[n]
-                hits = maybe[own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run] if len(own) else maybe[:0]
+                hits = maybe[own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run]
                 reach = np.zeros(len(ids) + 1, np.int32)  # +1 where a window starts to hold a shared run, -1 after the last such start
                 np.add.at(reach, np.maximum(hits - (n - RUN), 0), 1)
                 np.add.at(reach, hits + 1, -1)
-                enough &= np.cumsum(reach)[: len(enough)] > 0
-            ok = np.flatnonzero(enough)
+                ok = np.flatnonzero(np.cumsum(reach)[: len(ids) - n + 1] > 0)
+            else:
+                ok = np.arange(len(ids) - n + 1)
             if not len(ok):
                 continue
-            for r in range(len(self.samples[n])):
+            np.cumsum(self.known[n][ids], out=sums[1:])
+            ok = ok[sums[ok + n] - sums[ok] >= n - self.slack(n)]
+            for r in range(self.repeats if len(ok) else 0):
                 keys = self.embed(ids, ok, ok + n, n, r)
                 known, of = self.buckets[n, r]
                 lo, hi = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
                 for i in np.flatnonzero(hi > lo):
-                    candidates.update((int(ok[i]), int(k)) for k in of[lo[i] : hi[i]])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
-        for start, k in sorted(candidates):
-            text = int(np.searchsorted(starts, start, side="right")) - 1
-            base = int(starts[text])
+                    text = int(np.searchsorted(starts, ok[i], side="right")) - 1
+                    for k in of[lo[i] : hi[i]].tolist():
+                        candidates.setdefault((text, k), set()).add(int(ok[i]))
+        best: dict[tuple[int, int], tuple] = {}
+        for (text, k), places in candidates.items():
+            base, stop = int(starts[text]), int(ends[text])
             item_id, item = self.items[k]
-            slack = self.slack(len(item))
-            if done.get((text, k), -1) >= start and best.get((text, item_id), (9**9,))[0] == 0:
-                continue  # inside a stretch that holds the whole item already
-            lo, hi = max(base, start - slack), min(int(ends[text]), start + len(item) + slack)
-            edits, a, b = infix_distance(item, ids[lo:hi].tolist())
-            if edits <= slack:
-                new = (edits, lo - base + a, lo - base + b)
-                best[text, item_id] = min(best.get((text, item_id), new), new)
-                done[text, k] = lo + b
-        size = {i: len(x) for i, x in self.items}
-        return [(t, i, a, b, e, size[i]) for (t, i), (e, a, b) in sorted(best.items())]
+            n, slack = len(item), self.slack(len(item))
+            places = sorted(places)
+            first = 0
+            for i, start in enumerate(places):  # places that overlap make one region
+                if i + 1 < len(places) and places[i + 1] - start <= n:
+                    continue
+                lo, hi = max(base, places[first] - slack), min(stop, start + n + slack)
+                first = i + 1
+                edits, a, b = infix_distance(item, ids[lo:hi].tolist())
+                if edits <= slack:
+                    new = (edits / n, lo - base + a, lo - base + b, edits, n)
+                    best[text, item_id] = min(best.get((text, item_id), new), new)
+        return [(t, i, a, b, e, n) for (t, i), (_, a, b, e, n) in sorted(best.items())]
 
 
 def parts_of(benchmark: DataFrame, part_chars: int = PART_CHARS) -> list[list[tuple[int, str]]]:
