@@ -2,15 +2,20 @@
 
 Spans of the four base kinds (email, ip, card, phone) are decided by pattern and check alone.  The further
 kinds (iban, secret, ssn, phone_local) need a score of THRESHOLD: a prior per kind, plus a validator's or a
-context word's weight.  All scans are linear in the text, so very long texts and long digit runs are safe.
+context word's weight.  A confirmed IBAN passes by its checksum and an assigned secret by its pattern; a context word
+only raises their scores.  SSN and local phone patterns pass with a context word alone.  All scans are linear in the
+text but for sorting the spans, so very long texts and long digit runs are safe.
 
-Null or empty text: no spans.  Repeated rows are scanned alike; other columns pass through `redact` unchanged.
+Null or empty text: no spans.  An empty table gives an empty result.  Repeated rows are scanned alike; a null doc_id stays.
+Other columns are ignored, whatever their names; `redact` passes them on.  Spans of equal kind and start can't occur.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +24,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "ssn", "phone_local")
 THRESHOLD = 0.5
 CONTEXT_CHARS = 48
-PRIOR = {"iban": 0.2, "secret": 0.3, "ssn": 0.3, "phone_local": 0.3}
+PRIOR = {"iban": 0.2, "secret": 0.5, "ssn": 0.3, "phone_local": 0.3}
 CONTEXT = {
     "iban": ("iban", "account", "konto", "bank"),
     "secret": ("token", "secret", "password", "passwd", "key", "credential"),
@@ -98,17 +103,27 @@ def _score(kind: str, text: str, start: int, end: int, checked: bool) -> float:
     return PRIOR[kind] + CHECKED * checked + NEARBY * near
 
 
-def further_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def outside(held: list[tuple[int, int]]):
+    """Whether a span (a, b) overlaps none of the held ones, by bisection."""
+    held = sorted(held)
+    starts, furthest = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    return lambda a, b: not (k := bisect_left(starts, b)) or furthest[k - 1] <= a
+
+
+def scored_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of what the further kinds propose outside the spans taken."""
     if not _DIGIT.search(text) and '"' not in text and "'" not in text:
         return []
-    found = [("iban", *m.span(), mod97(m.group().replace(" ", ""))) for m in _IBAN.finditer(text)]
-    found = [x for x in found if x[3]]
-    found += [("secret", *m.span(1), False) for m in _SECRET.finditer(text)]
-    found += [("ssn", *m.span(), False) for m in _SSN.finditer(text)]
-    found += [("phone_local", *m.span(), False) for m in _LOCAL_PHONE.finditer(text)]
-    held = sorted((a, b) for _, a, b in taken)
-    free = lambda a, b: not any(x < b and a < y for x, y in held)
-    return [(k, a, b) for k, a, b, ok in found if free(a, b) and _score(k, text, a, b, ok) >= THRESHOLD]
+    found = [("iban", *m.span(), m.span(), True) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+    found += [("secret", *m.span(1), m.span(), False) for m in _SECRET.finditer(text)]
+    found += [("ssn", *m.span(), m.span(), False) for m in _SSN.finditer(text)]
+    found += [("phone_local", *m.span(), m.span(), False) for m in _LOCAL_PHONE.finditer(text)]
+    free = outside([(a, b) for _, a, b in taken])
+    return [(k, a, b, _score(k, text, *whole, ok)) for k, a, b, whole, ok in found if free(a, b)]
+
+
+def further_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return [(k, a, b) for k, a, b, score in scored_spans(text, taken) if score >= THRESHOLD]
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
