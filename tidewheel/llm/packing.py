@@ -19,6 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +28,13 @@ from .common import discard, stash
 WINDOW = 1024
 END_ID = 0
 DEPTH = 3
+#: Combinations given to NNLS: all pairs, then triples led by the commonest lengths.  More would round down to nothing more often.
+MOST_COMBINATIONS = 1500
 BLOCK_DOCS = 4_096
 RUN = 500
 #: Fixed value: how byte-level BPE divides a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block int"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block long"
 
 
 class ByteTokenizer:
@@ -44,9 +47,7 @@ class ByteTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model, self.fast = Tokenizer.from_file(path), None
+        self.path, self._model, self.fast = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec["added_tokens"]}
@@ -57,6 +58,15 @@ class ByteTokenizer:
 
             self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @property
+    def model(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        if self._model is None:
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(self.path)
+        return self._model
+
     def apart(self, text: str) -> bool:
         """Whether a text goes to the library: each run of 2 * RUN characters holds a whole aligned block of RUN."""
         blocks = (text[k : k + RUN] for k in range(0, len(text) - RUN + 1, RUN))
@@ -102,8 +112,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, blocks: int = 1) -> DataFrame:
-    """Tokenize and cut: one row per piece; block is a hash of the document, for later ranks."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
+    """Tokenize and cut: one row per piece; block names BLOCK_DOCS documents read by one task, for later ranks.
+
+    Blocks depend on how the input is read, not on its values, so equal rows spread too; write the pieces before using them.
+    """
 
     def run(batches):
         import os
@@ -111,24 +124,26 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = coder_of(vocabulary or default_vocabulary())
         end = np.asarray([END_ID], dtype="<u4").tobytes()
+        first, seen = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 512):
                 part = texts[at : at + 512]
-                for doc, block, ids in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(2)[at : at + 512].to_pylist(), coder.encode(part), strict=True):
+                for doc, ids in zip(batch.column(0)[at : at + 512].to_pylist(), coder.encode(part), strict=True):
+                    block = first + seen // BLOCK_DOCS
+                    seen += 1
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, window):
                         cut = ids[4 * start : 4 * (start + window)]
                         rows.append((doc, start, len(cut) // 4, zlib.crc32(cut), total, block))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:5]] + [pa.array([r[5] for r in rows], pa.int32())] if rows else [pa.array([], pa.int64())] * 5 + [pa.array([], pa.int32())],
+                [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6,
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "block"],
             )
 
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -149,7 +164,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def combinations(lengths: list[int], window: int, depth: int, most: int = 1500) -> list[tuple[int, ...]]:
+def combinations(lengths: list[int], window: int, depth: int, most: int = MOST_COMBINATIONS) -> list[tuple[int, ...]]:
     """Multisets of up to depth lengths that add up to the window exactly; the pairs first, then triples led by common lengths."""
     have, found = set(lengths), []
     found += [(a, window - a) for a in sorted(have) if a >= window - a and window - a in have]
@@ -202,9 +217,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW, depth: int = DEPTH) ->
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: every id in exactly one piece."""
-    spark = docs.sparkSession
-    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    cut = stash(pieces(docs, vocabulary, window, blocks))
+    cut = stash(pieces(docs, vocabulary, window))
     counts = stash(cut.groupBy("block", "length").agg(F.count("*").alias("n")))
     # At most window rows: the histogram of lengths; whole windows are sequences of their own.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
