@@ -243,8 +243,8 @@ def posted_lists(sketches: DataFrame, keys: Column) -> DataFrame:
 
 
 def mixed_lists(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """key, cid, sig, at, size, n, root of the lists that hold several components."""
-    named = posted.where("n > 2").select("key", "cid", "sig", "at", "size", "n").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    """The rows of the lists that hold several components, with root."""
+    named = posted.where("n > 2").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left")
     named = named.withColumn("root", F.coalesce("root", "cid"))
     open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     return named.join(open_keys, "key", "left_semi")
