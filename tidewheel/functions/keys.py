@@ -14,15 +14,25 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.udf(T.StringType())
+@F.udf(T.StringType(), useArrow=True)
 def canonical_token(text):
     """The canonical text of a JSON text; for keys without a declared type."""
     return None if text is None else canonical_json(json.loads(text))
 
 
 def string_token(key: Column) -> Column:
-    """canonical_json of a string column: to_json writes the same escapes for ordinary text."""
-    return F.regexp_extract(F.to_json(F.struct(key.alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+    """canonical_json of a string column; null stays null."""
+    text = F.regexp_replace(key, r"([\"\\])", r"\\$1")
+    controls = text
+    for code in range(32):
+        controls = F.replace(controls, F.lit(chr(code)), F.lit(json.dumps(chr(code))[1:-1]))
+    return F.concat(F.lit('"'), F.when(key.rlike(r"[\x00-\x1f]"), controls).otherwise(text), F.lit('"'))
+
+
+def struct_token(**tokens: Column) -> Column:
+    """canonical_json of an object of fields that have tokens already; null if one is null."""
+    parts = [F.concat(F.lit(("," if i else "{") + canonical_json(name) + ":"), tokens[name]) for i, name in enumerate(sorted(tokens))]
+    return F.concat(*parts, F.lit("}"))
 
 
 def long_token(key: Column) -> Column:
@@ -42,10 +52,20 @@ def hash_partition(token: Column, n: int) -> Column:
     return F.when(token.isNull(), F.raise_error(F.lit("null key")).cast("bigint")).otherwise(value)
 
 
+def _checked(upstream: int, n: int) -> None:
+    if type(n) is not int or n < 1:
+        raise ValueError("parallelism must be a positive integer")
+    if type(upstream) is not int or upstream < 0:
+        raise ValueError("the upstream's number must be 0 or more")
+
+
 def rebalance_partition(ordinal: Column, upstream: int, n: int) -> Column:
     """Round robin from the upstream's own number on."""
+    _checked(upstream, n)
     return F.pmod(ordinal + upstream, F.lit(n))
 
 
-def forward_partition(subtask: Column) -> Column:
-    return subtask
+def forward_partition(subtask: Column, n: int) -> Column:
+    """The upstream's own number, which the downstream must have too."""
+    _checked(0, n)
+    return F.when((subtask >= 0) & (subtask < n), subtask).otherwise(F.raise_error(F.lit("no downstream of that number")).cast("bigint"))

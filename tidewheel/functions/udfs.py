@@ -53,7 +53,7 @@ def map_json(fn: Callable, payload: Column) -> Column:
         out = None if text is None else fn(json.loads(text))
         return None if out is None else strict(out)
 
-    return F.udf(run, T.StringType()).asNondeterministic()(payload)
+    return F.udf(run, T.StringType(), useArrow=True).asNondeterministic()(payload)
 
 
 def key_json(fn: Callable, payload: Column) -> Column:
@@ -66,7 +66,7 @@ def key_json(fn: Callable, payload: Column) -> Column:
             raise ContractError("key selector returned None")
         return strict(key)
 
-    return F.udf(run, T.StringType()).asNondeterministic()(payload)
+    return F.udf(run, T.StringType(), useArrow=True).asNondeterministic()(payload)
 
 
 def fold_json(fn: Callable, payloads: list[str]) -> str:

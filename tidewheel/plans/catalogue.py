@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, windows
-from ..operators import core, reduce
+from ..operators import core, exchange, reduce
 from ..sources import csv_sink, records
 from ..streaming import reduce as streaming
 
@@ -127,8 +127,8 @@ def key_by_scalar(spark, d):
 
 @query("SELECT event_id, '{\"type\":\"' || event_type || '\",\"user\":' || user_id || '}' AS key_token FROM events")
 def key_by_composite(spark, d):
-    text = F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type")))
-    return events(spark, d).select("event_id", keys.canonical_token(text).alias("key_token"))
+    token = keys.struct_token(user=keys.long_token(F.col("user_id")), type=keys.string_token(F.col("event_type")))
+    return events(spark, d).select("event_id", token.alias("key_token"))
 
 
 @query("SELECT event_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 65), lambda i: (strpos('0123456789abcdef', sha256(user_id::VARCHAR)[i]) - 1)::BIGINT)), lambda a, x: (a * 16 + x) % 7) AS p FROM events")
@@ -143,7 +143,9 @@ def rebalance_partition(spark, d):
 
 @query("SELECT event_id, event_id % 4 AS p FROM events")
 def forward_partition(spark, d):
-    return events(spark, d).select("event_id", keys.forward_partition(F.col("event_id") % 4).alias("p"))
+    """Every record is in the partition of its upstream's number, and a map leaves it there."""
+    there = exchange.forward_exchange(events(spark, d).withColumn("subtask", F.col("event_id") % 4), F.col("subtask"), 4)
+    return core.map_native(there, F.upper("event_type")).select("event_id", F.spark_partition_id().cast("bigint").alias("p"))
 
 
 @query(_count_sql(FIVE))
@@ -188,7 +190,7 @@ def reduce_ordered_fold(spark, d):
 @query(_count_sql(24 * HOUR))
 def reduce_python_udf(spark, d):
     own = stream(spark, d).withColumn("payload", F.to_json(F.struct(F.col("key").alias("word"), F.lit(1).alias("count"))))
-    got = reduce.python_fold(own, 24 * HOUR, streaming.add_counts)
+    got = reduce.python_fold(own, 24 * HOUR, streaming.merge_word_counts)
     return got.select(windows.stamp(F.col("window_end")).alias("window_end"), F.col("key").alias("word"), F.get_json_object("payload", "$.count").cast("bigint").alias("count"))
 
 
@@ -233,7 +235,11 @@ def branch_two_outputs(spark, d):
 
 
 def _folder(spark) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/tidewheel-scratch'}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.gettempdir() + '/tidewheel-scratch'}/{uuid.uuid4().hex}"
 
 
 @query(_count_sql(HOUR).replace("lower(event_type)", "'a, \"' || lower(event_type) || '\" #'"))
@@ -258,30 +264,58 @@ def state_metrics(spark, d):
     return reduce.state_metrics(stream(spark, d), 24 * HOUR, CLOCK)
 
 
-@query("SELECT l_returnflag AS word, sum(round(l_quantity)::BIGINT)::BIGINT AS total FROM lineitem GROUP BY 1")
+@query(f"SELECT {stamp_sql('w')} AS window_end, word, sum(q)::BIGINT AS total FROM (SELECT {ends(24 * HOUR, 'l_shipdate')} AS w, l_returnflag AS word, round(l_quantity)::BIGINT AS q FROM lineitem) GROUP BY 1, 2")
 def reduce_lineitem(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("key"), F.round("l_quantity").cast("bigint").alias("q"), F.lit("2024-01-01").cast("timestamp").alias("processing_time"), F.col("l_orderkey").cast("string").alias("record_id"))
-    return reduce.declared(rows, HOUR, {"total": ("sum", F.col("q"))}).select(F.col("key").alias("word"), "total")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("key"), F.round("l_quantity").cast("bigint").alias("q"), F.col("l_shipdate").cast("timestamp").alias("processing_time"), F.col("l_orderkey").cast("string").alias("record_id"))
+    got = reduce.declared(rows, 24 * HOUR, {"total": ("sum", F.col("q"))})
+    return got.select(windows.stamp(F.col("window_end")).alias("window_end"), F.col("key").alias("word"), "total")
 
 
-@query()
+@query(_count_sql(24 * HOUR))
 def stream_wordcount(spark, d):
-    """Word count of the event types as a stream: files in, stateful reduce with timers, CSV out."""
+    """Word count of the event types as a stream: files in, stateful reduce with timers, CSV out, a folder per batch."""
     streaming.configure(spark)
-    schema = events(spark, d).schema
-    folder = _folder(spark)
-    events(spark, d).repartition(1).write.parquet(f"{folder}/in")
-    raw = spark.readStream.schema(schema).parquet(f"{folder}/in")
-    own = raw.select(F.lower("event_type").alias("key"), F.col("ts").cast("timestamp").alias("processing_time"), F.to_json(F.struct(F.lower("event_type").alias("word"), F.lit(1).alias("count"))).alias("payload"))
+    table = events(spark, d)
+    folder, rows = _folder(spark), table.count()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table.schema)
+    raw = reader.parquet(f"{d}/events.parquet") if whole else reader.option("pathGlobFilter", "events.parquet").parquet(d)  # a stream reads folders
+    payload = F.to_json(F.struct(F.lower("event_type").alias("word"), F.lit(1).alias("count")))
+    own = raw.select(F.lower("event_type").alias("key"), F.col("ts").cast("timestamp").alias("processing_time"), payload.alias("payload"), F.concat(F.lit("events:0:"), "event_id").alias("record_id"))
     out = csv_sink.directory(folder, "job", "output")
-    made = streaming.word_rows(streaming.reduce_stream(own, streaming.add_counts, 24 * HOUR))
-    running = made.writeStream.foreachBatch(lambda batch, _: csv_sink.write(batch, out)).option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
+    made = streaming.word_rows(streaming.reduce_stream(own, streaming.merge_word_counts, 24 * HOUR))
+    running = made.writeStream.foreachBatch(lambda batch, k: csv_sink.write_batch(batch, out, k)).option("checkpointLocation", f"{folder}/state").trigger(processingTime="1 second").start()
     try:  # processAllAvailable() would wait for ever: timers keep an idle query's batches going
-        until = time.time() + 120
-        while time.time() < until and not running.exception() and not any(p["numInputRows"] for p in running.recentProgress):
+        taken: dict[int, int] = {}
+        while True:
+            if error := running.exception():
+                raise error
+            seen = running.recentProgress
+            taken |= {p["batchId"]: p["numInputRows"] for p in seen}
+            if sum(taken.values()) >= rows and seen and all(s["numRowsTotal"] == 0 for s in seen[-1]["stateOperators"]):
+                break
             time.sleep(0.5)
     finally:
         running.stop()
-    return csv_sink.read(spark, out)
+    return csv_sink.read(spark, out, batches=True)
+
+
+@query("SELECT key, string_agg(event_id::VARCHAR, '-' ORDER BY event_id) AS ids FROM (SELECT lower(event_type) AS key, event_id FROM events WHERE event_id < 60) GROUP BY key")
+def fold_default_order(spark, d):
+    """A fold that depends on the order, in the default one: by offset as a number, not as text."""
+    rows = stream(spark, d).where("ordinal < 60").withColumn("processing_time", F.lit("2024-01-01").cast("timestamp"))
+    got = reduce.ordered_fold(rows, HOUR, F.col("ordinal").cast("string"), None, lambda acc, x: F.concat(acc, F.lit("-"), x), name="ids")
+    return got.select("key", "ids")
+
+
+_ODD = ("{}", '{"k":null}', '{"k":1} junk', '{"k":2}', "{", '{"k":NaN}', '[{"k":3}]', '{"k":4},{"k":5}')
 
 
+@query("SELECT event_id, event_id % 8 AS kind, CASE WHEN event_id % 8 = 3 THEN 2 ELSE -1 END::BIGINT AS k FROM events WHERE event_id % 8 IN (0, 1, 3)")
+def json_decode_strict(spark, d):
+    """Native decoding of odd values: absent and null fields are valid, trailing text and NaN are not."""
+    kind = F.col("event_id") % 8
+    odd = events(spark, d).withColumn("kind", kind).withColumn("v", F.element_at(F.array(*[F.lit(x) for x in _ODD]), (kind + 1).cast("int")).cast("binary"))
+    got = records.decode(odd.where("kind <> 6"), F.col("v"), where=F.col("event_id").cast("string"), policy="skip", schema="k bigint")
+    return got.select("event_id", "kind", F.coalesce("payload.k", F.lit(-1)).cast("bigint").alias("k"))

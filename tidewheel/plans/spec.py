@@ -157,11 +157,41 @@ def _operator(raw, path, bad) -> Operator | None:
         bad.append((f"{path}.config", "is required"))
     elif kind not in ("source", "sink") and raw.get("config"):
         bad.append((f"{path}.config", f"is not allowed for {kind}"))
-    elif kind == "source" and raw["config"].get("bad_record_policy", "fail") not in ("fail", "skip"):
-        bad.append((f"{path}.config.bad_record_policy", "must be fail or skip"))
+    elif kind in ("source", "sink"):
+        _config(kind, raw["config"], f"{path}.config", bad)
     return Operator(raw.get("id"), kind, n, udf, size, raw.get("config") or {})
 
 
+_TEXT = lambda most: lambda v: isinstance(v, str) and 0 < len(v) <= most
+#: Per connector the fields that it may have: whether a field is required, its test, and what the test asks for.
+CONNECTORS = {
+    "source": {
+        "kafka": {"topic": (True, _TEXT(249), "1 to 249 characters"), "value_format": (False, lambda v: v == "json", "json"), "bootstrap_servers": (False, _TEXT(4096), "text"), "group_id": (False, _TEXT(255), "1 to 255 characters")},
+        "table": {"topic": (True, _TEXT(249), "1 to 249 characters"), "path": (True, _TEXT(4096), "text")},
+    },
+    "sink": {"file": {"format": (False, lambda v: v == "csv", "csv"), "output_path": (False, _TEXT(4096), "text")}},
+}
+_OF_SOURCES = {"bad_record_policy": (False, lambda v: v in ("fail", "skip"), "fail or skip"), "validator": (False, lambda v: isinstance(v, str) and bool(_UDF.fullmatch(v)), "module:function")}
+#: What a field is where a job leaves it out.
+DEFAULTS = {"bootstrap_servers": "kafka:9092", "output_path": "/data/output"}
+
+
+def _config(kind, config, path, bad) -> None:
+    fields = CONNECTORS[kind].get(config.get("connector"))
+    if fields is None:
+        bad.append((f"{path}.connector", f"must be one of {', '.join(CONNECTORS[kind])}"))
+        return
+    fields = fields | (_OF_SOURCES if kind == "source" else {})
+    for k in config.keys() - fields.keys() - {"connector"}:
+        bad.append((f"{path}.{k}", "unknown field"))
+    for k, (required, test, asked) in fields.items():
+        if config.get(k) is None:
+            if required:
+                bad.append((f"{path}.{k}", "is required"))
+        elif not test(config[k]):
+            bad.append((f"{path}.{k}", f"must be {asked}"))
+
+
 def _edge(raw, path, bad) -> tuple | None:
     if not isinstance(raw, dict) or not {"from", "to"} <= raw.keys() or raw.keys() - {"from", "to"}:
         bad.append((path, "must have from and to only"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HEADERS = "struct<source_topic string, source_partition int, source_offset bigint, window_start string, window_end string>"
 COLUMNS = ("record_id", "payload", "processing_time", "key", "event_time", "message_type", "change_kind", "checkpoint_id", "headers")
@@ -44,22 +43,34 @@ def decoder(validator: Callable | None = None):
         except Exception as e:  # noqa: BLE001  any failure is a bad record
             return (None, f"{type(e).__name__}: {e}")
 
-    return F.udf(run, "struct<payload string, error string>").asNondeterministic()
+    return F.udf(run, "struct<payload string, error string>", useArrow=True).asNondeterministic()
 
 
-def decode(df: DataFrame, value: Column, *, where: Column, policy: str = "fail", schema: str | None = None, valid: Column | None = None, validator: Callable | None = None) -> DataFrame:
+def is_json(value: Column) -> Column:
+    """Whether the bytes are UTF-8 and one JSON value, without NaN, repeated names or trailing text.
+
+    The parser ignores what follows a value; inside brackets and inside braces both, only white space can.
+    """
+    text = value.cast("string")
+    closed = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.coalesce(F.is_valid_utf8(text) & closed[0] & closed[1], F.lit(False))
+
+
+def decode(df: DataFrame, value: Column, *, where: Column, policy: str = "fail", schema: str | None = None, valid: Column | None = None, validator: Callable | None = None, metrics: Observation | None = None) -> DataFrame:
     """Add payload; bad records fail the query with their place, or are skipped.
 
     With a schema, decoding is native (valid: a predicate on payload); without one, the strict Python decoder runs.
+    A valid JSON object may lack any field.  metrics: gets records_read (good ones) and bad_records.
     """
     if schema:
         out = df.withColumn("payload", F.from_json(value.cast("string"), schema, {"mode": "PERMISSIVE"}))
-        kind = T._parse_datatype_string(schema)
-        ok = F.col("payload").isNotNull() & ~F.forall(F.array(*[F.col("payload")[f.name].isNull() for f in kind.fields]), lambda x: x)
-        out = out.withColumn("_error", F.when(ok & (valid if valid is not None else F.lit(True)), F.lit(None)).otherwise("bad payload"))
+        ok = is_json(value) & F.col("payload").isNotNull()
+        out = out.withColumn("_error", F.when(ok & (F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)), F.lit(None)).otherwise("bad payload"))
     else:
         got = decoder(validator)(value.cast("binary"))
         out = df.withColumn("_got", got).withColumn("payload", F.col("_got.payload")).withColumn("_error", F.col("_got.error")).drop("_got")
+    if metrics is not None:
+        out = out.observe(metrics, F.count_if(F.col("_error").isNull()).alias("records_read"), F.count_if(F.col("_error").isNotNull()).alias("bad_records"))
     if policy == "skip":
         return out.where("_error is null").drop("_error")
     if policy != "fail":
@@ -70,7 +81,7 @@ def decode(df: DataFrame, value: Column, *, where: Column, policy: str = "fail",
 
 def kafka_options(job_id: str, operator_id: str, config: dict) -> dict[str, str]:
     """Reader options of a Kafka JSON source; offsets live in the checkpoint."""
-    options = {"kafka.bootstrap.servers": config["bootstrap_servers"], "subscribe": config["topic"], "startingOffsets": config.get("auto_offset_reset", "earliest")}
+    options = {"kafka.bootstrap.servers": config.get("bootstrap_servers") or "kafka:9092", "subscribe": config["topic"], "startingOffsets": config.get("auto_offset_reset", "earliest")}
     group = config.get("group_id")
     return options | ({"kafka.group.id": group} if group else {"groupIdPrefix": f"tidewheel-{job_id}-{operator_id}"})
 
@@ -78,3 +89,23 @@ def kafka_options(job_id: str, operator_id: str, config: dict) -> dict[str, str]
 def kafka(spark: SparkSession, job_id: str, operator_id: str, config: dict) -> DataFrame:
     """topic, partition, offset, value as a stream; needs Spark's Kafka package on the class path."""
     return spark.readStream.format("kafka").options(**kafka_options(job_id, operator_id, config)).load()
+
+
+TOPIC = "topic string, partition int, offset bigint, value binary, timestamp timestamp"
+
+
+def table(spark: SparkSession, config: dict, streaming: bool) -> DataFrame:
+    """The same columns from a folder of Parquet files, at once or as a stream."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(TOPIC).parquet(config["path"]).where(F.col("topic") == config["topic"])
+
+
+def open_source(spark: SparkSession, job_id: str, operator_id: str, config: dict, *, streaming: bool, validator: Callable | None = None, metrics: Observation | None = None) -> DataFrame:
+    """Envelopes with JSON payloads of a job's source: connector kafka (a stream) or table."""
+    if config["connector"] == "kafka":
+        raw = kafka(spark, job_id, operator_id, config)
+    else:
+        raw = table(spark, config, streaming)
+    where = F.concat_ws(":", "topic", "partition", "offset")
+    got = decode(raw, F.col("value"), where=where, policy=config.get("bad_record_policy", "fail"), validator=validator, metrics=metrics)
+    return envelope(got, topic=config["topic"], partition=F.col("partition"), offset=F.col("offset"), payload=F.col("payload"), processing_time=F.coalesce("timestamp", F.current_timestamp()))
