@@ -1,15 +1,17 @@
+import io
 import json
 import time
+import zipfile
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tidewheel import cli
+from tidewheel import cli, observability
 from tidewheel.functions import keys, udfs, windows
 from tidewheel.operators import core, exchange, reduce
-from tidewheel.plans import planner, spec
+from tidewheel.plans import bundle, planner, spec
 from tidewheel.sources import csv_sink, records
 from tidewheel.streaming import reduce as streaming
 
@@ -338,3 +340,36 @@ def test_native_reduce_has_partial_aggregates(spark):
     df = records_of(spark, [({"word": "a"}, datetime(2026, 1, 1))]).withColumn("key", F.lit("a"))
     plan = reduce.declared(df, 1000, {"n": ("count", F.lit(1))})._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_bundles(spark, tmp_path, capsys):
+    folder = tmp_path / "views"
+    folder.mkdir()
+    (folder / "page_views.py").write_text("def lower(p):\n    return p | {'word': p['word'].lower()}\n\n\ndef word(p):\n    return p['word']\n")
+    (folder / "notes.txt").write_text("left out")
+    (folder / "job.json").write_text(json.dumps(_on_disk(spark, tmp_path, ROWS)))
+    assert cli.main(["package", str(folder), "--output-dir", str(tmp_path)]) == 0
+    made = capsys.readouterr().out.strip()
+    assert bundle.build(folder, tmp_path / "again").name == made.rsplit("/", 1)[1] and cli.main(["validate", made]) == 0
+    bundle.ship(spark, made)
+    paths = planner.run(spark, bundle.read(made))  # functions come from the bundle, on the executors too
+    assert sorted(map(tuple, csv_sink.read(spark, paths[0]).collect())) == WANT
+    with zipfile.ZipFile(made, "a") as z:
+        z.writestr("extra.py", "x = 1")
+    with pytest.raises(bundle.BundleError, match="manifest"):
+        bundle.read(made)
+    assert cli.main(["run", made]) == 3
+
+
+def test_log_lines_carry_locators():
+    out = io.StringIO()
+    observability.configure(stream=out)
+    observability.logger(job_id="page-views", operator_id="views").warning("late %d", 3, extra={"record_id": "clicks:0:3"})
+    line = json.loads(out.getvalue())
+    assert (line["message"], line["level"], line["job_id"], line["operator_id"], line["record_id"]) == ("late 3", "WARNING", "page-views", "views", "clicks:0:3")
+
+
+def test_kafka_options():
+    options = records.kafka_options("j", "s", {"connector": "kafka", "topic": "t"})
+    assert options["kafka.bootstrap.servers"] == "kafka:9092" and options["subscribe"] == "t" and options["groupIdPrefix"] == "tidewheel-j-s"
+    assert records.kafka_options("j", "s", {"topic": "t", "group_id": "g"})["kafka.group.id"] == "g"
