@@ -5,8 +5,10 @@ decoration marks per word) and boilerplate (no stock phrase).  Lines that fail g
 that stay hold less than MIN_LEFT of its text.  The base measures (dup lines, repeated 5-word windows) are exact
 up to 64-bit hashes of windows of one text.
 
-Null text counts as no text: zero words, base_failed.  Empty tables give empty results; any extra columns are ignored
-by `measure`, and `clean` keeps them.  Each row is worked on alone, so no key or copy group is ever gathered.
+Null text counts as no text: zero words, base_failed; `clean` drops it, as it does a text without words.  Empty tables give
+empty results; other columns are ignored by `measure`, whatever their names, and `clean` keeps them.  Each row is worked
+on alone, so no key or copy group is ever gathered, repeated rows get equal results, and a null doc_id stays null.  Very
+long texts cost their length, times its logarithm where windows repeat.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ MARKS_PER_WORD = 0.75
 SHOUTS_PER_WORD = 0.3
 #: Stock phrases of pages that aren't prose, in lower case.
 PHRASES = ("all rights reserved", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "terms of use", "terms of service", "click here", "sign in", "log in", "subscribe to", "licensed under", "copyright (c)", "share on", "read more")
+PHRASES += ("tous droits réservés", "politique de confidentialité", "mentions légales", "lire la suite", "se connecter")
+PHRASES += ("alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "weiterlesen", "jetzt anmelden")
+PHRASES += ("todos los derechos reservados", "política de privacidad", "aviso legal", "leer más", "iniciar sesión")
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -73,7 +78,7 @@ def repeat_words(words: Column) -> Column:
 
 def line_passes(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules for one line."""
-    n_words = F.length(F.regexp_replace(F.trim(line), r"[^\x20\x09]+", "")) + 1
+    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     punctuated = line.rlike(r"[.!?…。！？]")
     navigation = _left(line, r"|»›•·") >= F.greatest(F.lit(2.0), n_words * SEPARATORS_PER_WORD)
     decorated = _left(line, r"#*$%&<>=_~^") >= F.greatest(F.lit(3.0), n_words * MARKS_PER_WORD)
