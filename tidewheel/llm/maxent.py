@@ -1,22 +1,30 @@
 """Hashed maximum-entropy language model with class-factored softmax.
 
-log P(text) = sum over tokens of log P(class | history) + log P(token | class, history).  The KNOWN most frequent
-tokens fill softmax classes of CLASS_SIZE; every other token belongs to a class of its form (which non-ASCII letters it
-has, how it ends), within which its probability is its add-one share.  So the model is proper over an open vocabulary.
-History features: previous token, the one before it (a skip feature), and the hashed pair.
-
-Counts cover all learning documents.  Weights start at the counts' log shares and are trained in ROUNDS distributed
-updates: every learning document is in exactly one round, each task takes gradient steps over its documents in numpy
-batches, and the row-wise weighted mean of the tasks' changes becomes the new model.  Scoring sends (batch, rare token)
-rows with the documents that hold the token to its count and back, so no count table is ever held by one task.
-
-Tokens are named by 64-bit hashes.  Null text: only the end token.  Empty learning data: N = V = 0, base probability 1.
-Rows with the same doc_id are scored each.  Hot tokens meet pre-aggregated counts; the rest is a join that can be split.
+log P(text) = sum over tokens of log P(class | history) + log P(place | class, history) + log P(token | class, place).  The
+KNOWN most frequent tokens fill classes of PLACES, a token per place.  Every other token has the class of its form (which
+non-ASCII letters it has, how it ends) and the place that its hash names; within a place its probability is its add-one
+share.  Classes and places are softmaxes, so the model is proper over the whole vocabulary, however large, and unseen tokens.
+History features: the hashed previous token, the one before it (a skip feature), the hashed pair, and the pair's forms;
+the place has one of the hashed previous token and the class.  Any token, frequent or not, is a feature by its own hash.
+
+Texts are cut and hashed once, into chunks of about CHUNK tokens: distinct tokens and numbers into them, in a table in the
+shared folder that all later passes read.  Counts cover all learning documents.  Weights start at the counts' log shares and
+are trained in ROUNDS distributed updates: every learning document is in exactly one round, each task takes gradient steps
+over its documents in numpy batches, and the row-wise weighted mean of the tasks' changes becomes the new model.  Scoring
+sends (chunk, rare token) rows with the documents that hold the token to its count and back, so no count table is ever
+held by one task.
+
+Tokens are named by 64-bit hashes.  Null text: only the end token.  An empty table: an empty result.  Empty learning data:
+N = V = 0, base probability 1.  Repeated rows, and rows with the same doc_id, are scored each; a null doc_id is in no fold:
+held_out is null and nothing is learnt from it.  Very long texts are a chunk of their own.  Ties among the most frequent
+tokens go to the smaller hash.  Other columns are ignored, whatever their names.  Hot tokens meet pre-aggregated
+counts; the rest is a join that can be split.
 """
 
 from __future__ import annotations
 
 import io
+from copy import copy
 from itertools import chain
 
 import numpy as np
@@ -28,24 +36,24 @@ from pyspark.sql import functions as F
 
 from .common import fold, stash
 
-KNOWN, CLASS_SIZE, FORMS = 1024, 32, 32
-CLASSES = KNOWN // CLASS_SIZE + FORMS
+KNOWN, PLACES, FORMS = 512, 32, 16
+CLASSES = KNOWN // PLACES + FORMS
+LAST_ROWS, PAIR_BITS, WITHIN_BITS = 1 << 13, 13, 13
 CODES = KNOWN + FORMS + 1  # the last: before the text
-PAIR_ROWS, WITHIN_ROWS = 1 << 13, 1 << 13
-ROUNDS, STEP, BATCH = 2, 0.25, 8_192
+ROUNDS, STEP, BATCH = 2, 0.6, 8_192
 END = b"\n"
 MEMO = 400_000
-DOCS_AT_ONCE = 2_000
+CHUNK, CHUNK_DOCS = 1_500_000, 60_000
 PART = 512
-_LETTER_MASK = 7
+_PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def form_of(word: bytes) -> int:
-    """A class for tokens outside the known ones: which lead and last bytes of non-ASCII letters, and the kind of ending."""
+    """One of FORMS forms: the kind of ending and which non-ASCII letters there are."""
     last = word[-1:]
     ending = 0 if last.isalnum() else 1 if last in (b".", b",") else 2 if last < b"\x80" else 3
-    high = {c & 63 for c in word if 0x80 <= c < 0xC0}
-    return ending * 8 + (min(high) % _LETTER_MASK + 1 if high else 0)
+    high = [c & 63 for c in word if 0x80 <= c < 0xC0]
+    return ending * 4 + (min(high) % 3 + 1 if high else 0)
 
 
 def hash_of(word: bytes) -> int:
@@ -53,131 +61,188 @@ def hash_of(word: bytes) -> int:
 
 
 class Coder:
-    """Words to (hash, code), with a bounded memory of words."""
+    """Words to numbers with hash and form, with a bounded memory of words."""
 
-    def __init__(self, known: np.ndarray):
-        self.known = {int(h): i for i, h in enumerate(known)}
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self):
         self.memo: dict[bytes, int] = {}
-        self.hashes, self.codes = np.empty(1024, np.int64), np.empty(1024, np.int32)
+        self.hashes, self.forms = np.empty(1024, np.int64), np.empty(1024, np.uint8)
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths with the end token, hashes and codes of all tokens in a row."""
-        if len(self.memo) > MEMO:
-            self.clear()
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths with the end token, and numbers of all tokens in a row."""
         cut = [[*(t or b"").lower().split(), END] for t in texts]
         memo = self.memo
-        new = {w for ws in cut for w in ws if w not in memo}
+        new = {w for w in chain.from_iterable(cut) if w not in memo}
         need = len(memo) + len(new)
         if need > len(self.hashes):
-            self.hashes, self.codes = np.resize(self.hashes, 2 * need), np.resize(self.codes, 2 * need)
+            self.hashes, self.forms = np.resize(self.hashes, 2 * need), np.resize(self.forms, 2 * need)
         for w in new:
-            h, i = hash_of(w), len(memo)
-            memo[w] = i
-            self.hashes[i] = h
-            self.codes[i] = self.known.get(h, -1) if self.known.get(h) is not None else KNOWN + form_of(w)
+            i = len(memo)
+            memo[w], self.hashes[i], self.forms[i] = i, hash_of(w), form_of(w)
         lens = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(memo.__getitem__, chain.from_iterable(cut)), np.int64, int(lens.sum()))
-        return lens, self.hashes[at], self.codes[at]
+        return lens, np.fromiter(map(memo.__getitem__, chain.from_iterable(cut)), np.int32, int(lens.sum()))
+
+    def chunk(self, doc_id: list, learn: list, held: list, lens: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+        """Everything that later passes need of some documents; the memory starts anew once it is large."""
+        lens, numbers, learn = np.concatenate(lens), np.concatenate(numbers), np.array(learn, bool)
+        often = np.bincount(numbers, minlength=len(self.memo))
+        used = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+        rank = np.empty(len(often), np.uint32)
+        rank[used] = np.arange(len(used), dtype=np.uint32)
+        stream = rank[numbers]
+        learnt = np.bincount(stream, np.repeat(learn, lens), len(used)).astype(np.int32)
+        out = io.BytesIO()
+        np.savez(
+            out, doc_id=np.array([d or 0 for d in doc_id], np.int64), null=np.array([d is None for d in doc_id]), held=np.array([2 if h is None else h for h in held], np.uint8), learn=learn,
+            lens=lens, hashes=self.hashes[used], forms=self.forms[used], learnt=learnt, low=stream.astype(np.uint16), high=(stream >> np.uint32(16)).astype(np.uint16),
+        )
+        if len(self.memo) > MEMO:
+            self.__init__()
+        return out.getvalue()
 
 
-class Weights:
-    """Class and within-class weights by feature row; fixed sizes."""
+class Chunk:
+    """A chunk read again."""
+
+    def __init__(self, blob: bytes):
+        own = np.load(io.BytesIO(blob))
+        self.doc_id, self.null, self.held, self.learn, self.lens, self.hashes, self.forms, self.learnt = (own[k] for k in ("doc_id", "null", "held", "learn", "lens", "hashes", "forms", "learnt"))
+        self.stream = own["low"].astype(np.int32) | own["high"].astype(np.int32) << 16
+
+    def only(self, docs: np.ndarray) -> Chunk:
+        """The same with some of its documents."""
+        out = copy(self)
+        out.stream, out.lens = self.stream[np.repeat(docs, self.lens)], self.lens[docs]
+        return out
+
+    def coded(self, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """last, skip, shape, pair, class and place of every token; known: hashes of the most frequent tokens."""
+        order = np.argsort(known)
+        at = order[np.minimum(np.searchsorted(known, self.hashes, sorter=order), max(0, len(known) - 1))] if len(known) else np.zeros(len(self.hashes), np.int64)
+        rare = known[at] != self.hashes if len(known) else np.ones(len(self.hashes), bool)
+        spread = self.hashes.view(np.uint64) * _PAIR
+        form = self.forms.astype(np.int64)
+        code = np.where(rare, KNOWN + form, at)
+        row = np.where(rare, KNOWN + (spread >> np.uint64(20)) % np.uint64(LAST_ROWS - KNOWN - 1), at).astype(np.int64)
+        group = np.where(rare, KNOWN // PLACES + form, at // PLACES)
+        place = np.where(rare, spread >> np.uint64(59), at % PLACES).astype(np.int64)
+        s, first = self.stream, np.cumsum(self.lens) - self.lens
+
+        def before(values: np.ndarray, steps: int, start: int) -> np.ndarray:
+            out = np.empty(len(s), np.int64)
+            out[steps:] = values[s[:-steps]]
+            for k in range(steps):
+                out[(first + k)[self.lens > k]] = start
+            return out
+
+        last, other = before(row, 1, LAST_ROWS - 1), before(row, 2, LAST_ROWS - 1)
+        pair = ((last.astype(np.uint64) * np.uint64(LAST_ROWS) + other.astype(np.uint64)) * _PAIR) >> np.uint64(64 - PAIR_BITS)
+        shape = before(form, 1, FORMS) * (FORMS + 1) + before(form, 2, FORMS)
+        return last, before(code, 2, CODES - 1), shape, pair.astype(np.int64), group[s], place[s]
+
+
+def code(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
+    """chunk, blob: the documents' tokens."""
+
+    def run(batches):
+        coder, held, number, task = Coder(), [[], [], [], [], []], 0, TaskContext.get().partitionId()
+
+        def flush():
+            nonlocal number, held
+            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([coder.chunk(*held)], pa.binary())], names=["chunk", "blob"])
+            number, held = number + 1, [[], [], [], [], []]
+            return out
 
-    NAMES = ("bias", "last", "skip", "pair", "word", "within")
+        for batch in batches:
+            ids, learns, outs = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            texts, at = batch.column(1).cast(pa.binary()), 0
+            while at < len(ids):
+                size, stop = 0, at  # some texts of about 2 MB
+                while stop < len(ids) and stop - at < 512 and size < 2_000_000:
+                    size += len(texts[stop].as_py() or b"")
+                    stop += 1
+                lens, numbers = coder(texts[at:stop].to_pylist())
+                for own, new in zip(held, (ids[at:stop], learns[at:stop], outs[at:stop], [lens], [numbers]), strict=True):
+                    own += new
+                at = stop
+                if sum(map(len, held[4])) >= CHUNK or len(held[0]) >= CHUNK_DOCS:
+                    yield flush()
+        if held[0]:
+            yield flush()
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"), held_out.alias("held"))
+    return own.mapInArrow(run, "chunk long, blob binary")
+
+
+class Weights:
+    """Class and place weights by feature row; fixed sizes."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.a = arrays
 
     @classmethod
-    def start(cls, class_share: np.ndarray, word_share: np.ndarray) -> Weights:
+    def start(cls, share: np.ndarray) -> Weights:
+        """share: of each place in each class."""
         zeros = lambda r, c: np.zeros((r, c), np.float32)
+        total = share.sum(1, keepdims=True)
         return cls({
-            "bias": np.log(class_share)[None, :].astype(np.float32),
-            "last": zeros(CODES, CLASSES), "skip": zeros(CODES, CLASSES), "pair": zeros(PAIR_ROWS, CLASSES),
-            "word": np.log(word_share).astype(np.float32), "within": zeros(WITHIN_ROWS, CLASS_SIZE),
+            "bias": np.log(total.T / total.sum()).astype(np.float32),
+            "last": zeros(LAST_ROWS, CLASSES), "skip": zeros(CODES, CLASSES), "shape": zeros((FORMS + 1) ** 2, CLASSES), "pair": zeros(1 << PAIR_BITS, CLASSES),
+            "word": np.log(share / total).astype(np.float32), "within": zeros(1 << WITHIN_BITS, PLACES),
         })
 
     def copy(self) -> Weights:
         return Weights({k: v.copy() for k, v in self.a.items()})
 
     @staticmethod
-    def features(lens: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Previous code, the one before, and the hashed pair, per token."""
-        first = np.cumsum(lens) - lens
-        last, skip = np.empty_like(codes), np.empty_like(codes)
-        last[1:], skip[2:] = codes[:-1], codes[:-2]
-        last[first] = skip[first] = skip[np.minimum(first + 1, len(codes) - 1)] = CODES - 1
-        last[first] = CODES - 1
-        pair = ((last.astype(np.uint64) * np.uint64(CODES) + skip.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
-        return last, skip, pair.astype(np.int64)
-
-    @staticmethod
-    def target(codes: np.ndarray) -> np.ndarray:
-        return np.where(codes < KNOWN, codes // CLASS_SIZE, codes - KNOWN + KNOWN // CLASS_SIZE)
-
-    @staticmethod
-    def within_row(last: np.ndarray, group: np.ndarray) -> np.ndarray:
-        return (((last.astype(np.uint64) * np.uint64(CLASSES) + group.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 13)).astype(np.int64)
-
-    @staticmethod
-    def log_soft(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def batch(self, last, skip, pair, codes, step: float = 0.0, seen: dict[str, np.ndarray] | None = None) -> np.ndarray:
-        """Natural log probability of each token (of its class, for rare tokens); with a step, the weights move."""
-        a, group = self.a, self.target(codes)
-        row = np.arange(len(codes))
-        logp = self.log_soft(a["bias"] + a["last"][last] + a["skip"][skip] + a["pair"][pair])
-        out = logp[row, group].astype(np.float64)
-        known = np.flatnonzero(codes < KNOWN)
-        g, place = group[known], codes[known] % CLASS_SIZE
-        inner = self.within_row(last[known], g)
-        logq = self.log_soft(a["word"][g] + a["within"][inner])
-        out[known] += logq[np.arange(len(known)), place]
+    def log_soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logs of the softmax of each row, and values with their totals; weights are too small for a row of exps to vanish."""
+        z -= z.max()
+        e = np.exp(z)
+        total = (e @ np.ones(z.shape[1], np.float32))[:, None]
+        z -= np.log(total)
+        return z, e, total
+
+    def batch(self, last, skip, shape, pair, group, place, step: float = 0.0, seen: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Natural log probability of each token's class and place; with a step, the weights move."""
+        a, row = self.a, np.arange(len(group))
+        z = a["last"][last]
+        z += a["bias"]
+        for name, rows in (("skip", skip), ("shape", shape), ("pair", pair)):
+            z += a[name][rows]
+        logp, p, total = self.log_soft(z)
+        inner = (((last * CLASSES + group).astype(np.uint64) * _MIX) >> np.uint64(64 - WITHIN_BITS)).astype(np.int64)
+        z = a["within"][inner]
+        z += a["word"][group]
+        logq, q, total_q = self.log_soft(z)
+        out = logp[row, group].astype(np.float64) + logq[row, place]
         if step:
-            grad = -np.exp(logp)
-            grad[row, group] += 1
-            grad_q = -np.exp(logq)
-            grad_q[np.arange(len(known)), place] += 1
-            for name, rows, g_ in (("last", last, grad), ("skip", skip, grad), ("pair", pair, grad), ("word", g, grad_q), ("within", inner, grad_q)):
-                order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0])) if len(rows) else np.empty(0, np.int64)
-                if len(begin):
-                    ids, n = rows[order][begin], np.diff(np.append(begin, len(rows)))
-                    a[name][ids] += step * np.add.reduceat(g_[order], begin, axis=0) / (n + 2.0)[:, None].astype(np.float32)
-                    seen[name][ids] += n
+            p, q = p / total, q / total_q
+            p[row, group] -= 1
+            q[row, place] -= 1
+            p, q = np.ascontiguousarray(p.T, np.float64), np.ascontiguousarray(q.T, np.float64)
+            for name, rows, grad in (("last", last, p), ("skip", skip, p), ("shape", shape, p), ("pair", pair, p), ("word", group, q), ("within", inner, q)):
+                n = np.bincount(rows, minlength=len(a[name]))
+                ids = np.flatnonzero(n)
+                some, n = np.cumsum(n > 0)[rows] - 1, n[ids]
+                change = np.stack([np.bincount(some, g, len(ids)) for g in grad], 1)
+                a[name][ids] -= (step * change / (n + 2.0)[:, None]).astype(np.float32)
+                seen[name][ids] += n
         return out
 
 
-def _texts(batch, col: int) -> list[bytes | None]:
-    return batch.column(col).cast(pa.binary()).to_pylist()
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """h, form, c: each token's count, pre-counted per task."""
+def count(coded: DataFrame) -> DataFrame:
+    """h, leaf, c: each learnt token's count; leaf: its form and place if it is rare."""
 
     def run(batches):
-        from collections import Counter
-
-        def rows(c: Counter):
-            words = list(c)
-            return pa.RecordBatch.from_arrays([pa.array(map(hash_of, words), pa.int64()), pa.array(map(form_of, words), pa.int32()), pa.array(c.values(), pa.int64())], names=["h", "form", "n"])
-
-        counts: Counter = Counter()
         for batch in batches:
-            for text in _texts(batch, 0):
-                counts.update((text or b"").lower().split())
-                counts[END] += 1
-            if len(counts) > 2 * MEMO:
-                yield rows(counts)
-                counts = Counter()
-        yield rows(counts)
+            for blob in batch.column(0):
+                own = Chunk(blob.as_py())
+                has = own.learnt > 0
+                h = own.hashes[has]
+                leaf = own.forms[has].astype(np.int32) * PLACES + (h.view(np.uint64) * _PAIR >> np.uint64(59)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(leaf), pa.array(own.learnt[has].astype(np.int64))], names=["h", "leaf", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, form int, n long").groupBy("h").agg(F.min("form").alias("form"), F.sum("n").alias("c"))
+    return coded.select("blob").mapInArrow(run, "h long, leaf int, n long").groupBy("h").agg(F.min("leaf").alias("leaf"), F.sum("n").alias("c"))
 
 
 def _merge(deltas: DataFrame) -> DataFrame:
@@ -193,38 +258,35 @@ def _merge(deltas: DataFrame) -> DataFrame:
     return some.groupBy("name", "part").applyInArrow(add, out)
 
 
-def train(docs: DataFrame, known: np.ndarray, start: Weights, rounds: int = ROUNDS) -> Weights:
+def train(coded: DataFrame, known: np.ndarray, start: Weights, rounds: int = ROUNDS) -> Weights:
     """Each learning document takes part in one of the rounds."""
-    spark, weights = docs.sparkSession, start
+    spark, weights = coded.sparkSession, start
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((known, weights.a))
         step = STEP / (1 + k)
 
-        def run(batches, shared=shared, step=step):
+        def run(batches, shared=shared, step=step, k=k):
             known, arrays = shared.value
-            base, own, coder = Weights(arrays), Weights(arrays).copy(), Coder(known)
+            base, own = arrays, Weights(arrays).copy()
             seen = {n: np.zeros(len(v), np.float32) for n, v in arrays.items()}
             for batch in batches:
-                texts = _texts(batch, 0)
-                for at in range(0, len(texts), 256):
-                    lens, _, codes = coder(texts[at : at + 256])
-                    last, skip, pair = Weights.features(lens, codes)
-                    for b in range(0, len(codes), BATCH):
-                        s = slice(b, b + BATCH)
-                        own.batch(last[s], skip[s], pair[s], codes[s], step, seen)
+                for blob in batch.column(0):
+                    chunk = Chunk(blob.as_py())
+                    tokens = chunk.only(chunk.learn & (np.arange(len(chunk.lens)) % rounds == k)).coded(known)
+                    for b in range(0, len(tokens[0]), BATCH):
+                        own.batch(*(x[b : b + BATCH] for x in tokens), step, seen)
             salt, rows = TaskContext.get().partitionId() // 64, []
             for name, new in own.a.items():
                 for part in range(0, len(new), PART):
                     n = seen[name][part : part + PART]
                     if n.any():
-                        change = (new[part : part + PART] - base.a[name][part : part + PART]) * n[:, None]
+                        change = (new[part : part + PART] - base[name][part : part + PART]) * n[:, None]
                         rows.append((name, part // PART, salt, n.tobytes(), change.astype(np.float32).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["name", "part", "salt", "seen", "change"])
 
-        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text")
-        merged = _merge(own.mapInArrow(run, "name string, part int, salt int, seen binary, change binary")).collect()  # the model's fixed size
+        merged = _merge(coded.select("blob").mapInArrow(run, "name string, part int, salt int, seen binary, change binary")).collect()  # the model's fixed size
         weights = weights.copy()
         for r in merged:
             at, width = r["part"] * PART, weights.a[r["name"]].shape[1]
@@ -234,13 +296,51 @@ def train(docs: DataFrame, known: np.ndarray, start: Weights, rounds: int = ROUN
     return weights
 
 
-def lines_up(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct hashes, and for each the documents that hold it (once per occurrence), as binary uint16."""
-    order = np.argsort(hashes, kind="stable")  # documents are in order already
-    h, d = hashes[order], docs[order].astype("<u2")
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    offsets = np.append(begin, len(h)).astype(np.int32) * 2
-    return h[begin], pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(d.tobytes())])
+def lines_up(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct token numbers, and for each the documents that hold it (once per occurrence), as binary uint16."""
+    order = np.argsort(tokens, kind="stable")  # documents are in order already
+    t, d = tokens[order], docs[order].astype("<u2")
+    begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
+    offsets = np.append(begin, len(t)).astype(np.int32) * 2
+    return t[begin], pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(d.tobytes())])
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+class Model:
+    """What scoring needs: the weights, and the counts that give base probabilities and shares."""
+
+    def __init__(self, known: np.ndarray, often: np.ndarray, weights: Weights, rare: np.ndarray, total: int, distinct: int):
+        """rare: per class of forms and place, the mass (c + 1) of its tokens and of one unseen token."""
+        self.known, self.weights, self.total, self.distinct = known, weights, total, distinct
+        self.base_log, self.rare_log = np.log10(np.append(often, np.zeros(KNOWN - len(often))) + 1), np.log10(rare)
+
+    def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token: whether it is rare, base log10 probability and the model's; of rare ones without log10(c + 1)."""
+        tokens = chunk.coded(self.known)
+        group, place = tokens[4], tokens[5]
+        logs = np.concatenate([self.weights.batch(*(x[b : b + BATCH] for x in tokens)) for b in range(0, len(group), BATCH)]) / np.log(10)
+        rare = group >= KNOWN // PLACES
+        logs[rare] -= self.rare_log[group[rare] - KNOWN // PLACES, place[rare]]
+        base = np.where(rare, 0.0, self.base_log[np.where(rare, 0, group * PLACES + place)]) - np.log10(self.total + self.distinct + 1)
+        return rare, base, logs
+
+
+def fit(coded: DataFrame, counts: DataFrame) -> Model:
+    """coded: of `code`; counts: of `count`.  What comes to the driver has a fixed size."""
+    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c", "leaf").collect()
+    known, often = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
+    mass = np.zeros((3, FORMS * PLACES))  # tokens, distinct ones, and the two without the known tokens
+    for r in counts.groupBy("leaf").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        mass[:, r["leaf"]] = r["n"], r["v"], r["n"] + r["v"]
+    for r in top:
+        mass[2, r["leaf"]] -= r["c"] + 1
+    padded = np.full(KNOWN, 1e-6)
+    padded[: len(often)] += often
+    rare = mass[2].reshape(FORMS, PLACES) + 1
+    weights = train(coded, known, Weights.start(np.concatenate([padded.reshape(-1, PLACES), rare])))
+    return Model(known, often, weights, rare, int(mass[0].sum()), int(mass[1].sum()))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -248,73 +348,43 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learning = own.where(learn)
-    counts = stash(count(learning))
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c").collect()  # the model's vocabulary: KNOWN tokens
-    known, often = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
-    forms = {r["form"]: (r["n"], r["v"]) for r in counts.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # FORMS rows
-    total, distinct = sum(n for n, _ in forms.values()), sum(v for _, v in forms.values())
-    rare_n, rare_v = np.zeros(FORMS), np.zeros(FORMS)
-    for f, (n, v) in forms.items():
-        rare_n[f], rare_v[f] = n, v
-    for r in counts.join(F.broadcast(spark.createDataFrame([(int(h),) for h in known], "h long")), "h").groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect() if top else []:
-        rare_n[r["form"]] -= r["n"]
-        rare_v[r["form"]] -= r["v"]
-    padded = np.zeros(KNOWN)
-    padded[: len(often)] = often
-    groups = padded.reshape(-1, CLASS_SIZE)
-    class_n = np.concatenate([groups.sum(1), rare_n + rare_v + 1])
-    word_share = (groups + 1e-6) / (groups + 1e-6).sum(1, keepdims=True)
-    weights = train(learning, known, Weights.start((class_n + 1e-6) / (class_n + 1e-6).sum(), word_share))
-    shared = spark.sparkContext.broadcast((known, often, weights.a, np.log10(rare_n + rare_v + 1), total, distinct))
+    coded = stash(code(docs, learn, held_out))
+    counts = stash(count(coded))
+    model = fit(coded, counts)
+    shared, total = spark.sparkContext.broadcast(model), model.total
 
     def read(batches):
-        known, often, arrays, rare_log, total, distinct = shared.value
-        model, coder = Weights(arrays), Coder(known)
-        base_log = np.log10(np.append(often, np.zeros(KNOWN + FORMS - len(often))) + 1)
-        task, number = TaskContext.get().partitionId(), 0
+        model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
-                lens, hashes, codes = coder(_texts(part, 1))
-                last, skip, pair = Weights.features(lens, codes)
-                logs = np.concatenate([model.batch(last[b : b + BATCH], skip[b : b + BATCH], pair[b : b + BATCH], codes[b : b + BATCH]) for b in range(0, len(codes), BATCH)]) / np.log(10)
-                rare = codes >= KNOWN
-                logs[rare] -= rare_log[codes[rare] - KNOWN]
-                doc = np.repeat(np.arange(part.num_rows), lens)
-                base = np.where(rare, 0.0, base_log[codes]) - np.log10(total + distinct + 1)
-                sums = {
-                    "doc_id": part.column(0).to_numpy(zero_copy_only=False) if not part.column(0).null_count else np.array(part.column(0).to_pylist(), object), "held": np.array(part.column(2).to_pylist(), object), "n": lens, "known": np.bincount(doc, ~rare, part.num_rows),
-                    "base": np.bincount(doc, base, part.num_rows), "score": np.bincount(doc, logs, part.num_rows),
-                }
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = Chunk(blob.as_py())
+                rare, base, logs = model.of(own)
+                doc, n = np.repeat(np.arange(len(own.lens)), own.lens), len(own.lens)
                 keep = io.BytesIO()
-                np.savez(keep, **sums)
-                h, holders = lines_up(hashes[rare], doc[rare])
-                block = (task << 32) + number
-                number += 1
+                np.savez(keep, doc_id=own.doc_id, null=own.null, held=own.held, n=own.lens, known=np.bincount(doc, ~rare, n), base=np.bincount(doc, base, n), score=np.bincount(doc, logs, n))
+                t, holders = lines_up(own.stream[rare], doc[rare])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([keep.getvalue()], pa.binary())], names=["block", "h", "holders"])
-                for cut in range(0, len(h), 50_000):
-                    n = min(50_000, len(h) - cut)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(h[cut : cut + n]), holders.slice(cut, n)], names=["block", "h", "holders"])
+                for cut in range(0, len(t), 50_000):
+                    n = min(50_000, len(t) - cut)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(own.hashes[t[cut : cut + n]]), holders.slice(cut, n)], names=["block", "h", "holders"])
 
     def finish(key, rows):
         c = rows.column("c").fill_null(0).to_numpy()
         is_docs = np.array(rows.column("h").is_null().to_pylist())
         holders = rows.column("holders").to_pylist()
-        sums = np.load(io.BytesIO(holders[int(np.flatnonzero(is_docs)[0])]), allow_pickle=True)
+        sums = np.load(io.BytesIO(holders[int(np.flatnonzero(is_docs)[0])]))
         take = [x for x, own in zip(holders, is_docs, strict=True) if not own]
         size = np.fromiter((len(x) // 2 for x in take), np.int64, len(take))
         doc, each = np.frombuffer(b"".join(take), "<u2"), np.repeat(c[~is_docs], size)
         n = len(sums["n"])
         more = np.bincount(doc, np.log10(each + 1.0), n)
         return pa.table({
-            "doc_id": pa.array(sums["doc_id"].tolist(), pa.int64()), "held_out": pa.array(sums["held"].tolist(), pa.bool_()), "n_tokens": pa.array(sums["n"], pa.int64()),
+            "doc_id": pa.array(sums["doc_id"], mask=sums["null"]), "held_out": pa.array(sums["held"] == 1, mask=sums["held"] == 2), "n_tokens": pa.array(sums["n"], pa.int64()),
             "n_known": pa.array((sums["known"] + np.bincount(doc, each > 0, n)).astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()),
             "base_score": pa.array(sums["base"] + more), "score": pa.array(sums["score"] + more),
         })
 
-    posted = own.withColumn("held_out", held_out).mapInArrow(read, "block long, h long, holders binary")
+    posted = coded.mapInArrow(read, "block long, h long, holders binary")
     joined = posted.join(counts.select("h", "c"), "h", "left")
     return joined.groupBy("block").applyInArrow(finish, SCORED)
 
