@@ -44,10 +44,10 @@ def hash_partition(token: Column, n: int) -> Column:
     if type(n) is not int or n < 1:
         raise ValueError("parallelism must be a positive integer")
     digest = F.sha2(token.cast("binary"), 256)
-    # Seven hex digits at a time stay far inside a bigint.
+    step = (62 - n.bit_length()) // 4  # as many hex digits at a time as stay inside a bigint beside a remainder
     value = F.lit(0).cast("bigint")
-    for at in range(1, 65, 7):
-        width = min(7, 65 - at)
+    for at in range(1, 65, step):
+        width = min(step, 65 - at)
         value = F.pmod(value * (16**width) + F.conv(F.substring(digest, at, width), 16, 10).cast("bigint"), F.lit(n))
     return F.when(token.isNull(), F.raise_error(F.lit("null key")).cast("bigint")).otherwise(value)
 
