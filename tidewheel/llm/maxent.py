@@ -40,7 +40,7 @@ KNOWN, PLACES, FORMS = 512, 32, 16
 CLASSES = KNOWN // PLACES + FORMS
 LAST_ROWS, PAIR_BITS, WITHIN_BITS = 1 << 13, 13, 13
 CODES = KNOWN + FORMS + 1  # the last: before the text
-ROUNDS, STEP, BATCH = 2, 0.6, 8_192
+ROUNDS, STEP, BATCH = 2, 1.2, 8_192
 END = b"\n"
 MEMO = 400_000
 CHUNK, CHUNK_DOCS = 1_500_000, 60_000
