@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import io
 from copy import copy
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -60,29 +60,35 @@ def hash_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
+class Numbers(dict):
+    """Words to numbers in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Coder:
-    """Words to numbers with hash and form, with a bounded memory of words."""
+    """Words to numbers, with a bounded memory of words."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
-        self.hashes, self.forms = np.empty(1024, np.int64), np.empty(1024, np.uint8)
+        self.memo, self.hashes, self.forms = Numbers(), np.empty(0, np.int64), np.empty(0, np.uint8)
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths with the end token, and numbers of all tokens in a row."""
         cut = [[*(t or b"").lower().split(), END] for t in texts]
-        memo = self.memo
-        new = {w for w in chain.from_iterable(cut) if w not in memo}
-        need = len(memo) + len(new)
-        if need > len(self.hashes):
-            self.hashes, self.forms = np.resize(self.hashes, 2 * need), np.resize(self.forms, 2 * need)
-        for w in new:
-            i = len(memo)
-            memo[w], self.hashes[i], self.forms[i] = i, hash_of(w), form_of(w)
         lens = np.fromiter(map(len, cut), np.int64, len(cut))
-        return lens, np.fromiter(map(memo.__getitem__, chain.from_iterable(cut)), np.int32, int(lens.sum()))
+        return lens, np.fromiter(map(self.memo.__getitem__, chain.from_iterable(cut)), np.int32, int(lens.sum()))
+
+    def name(self):
+        """Hashes and forms of the words that have none yet."""
+        new = list(islice(self.memo, len(self.hashes), None))
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(hash_of, new), np.int64, len(new))])
+        self.forms = np.concatenate([self.forms, np.fromiter(map(form_of, new), np.uint8, len(new))])
 
     def chunk(self, doc_id: list, learn: list, held: list, lens: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
         """Everything that later passes need of some documents; the memory starts anew once it is large."""
+        self.name()
         lens, numbers, learn = np.concatenate(lens), np.concatenate(numbers), np.array(learn, bool)
         often = np.bincount(numbers, minlength=len(self.memo))
         used = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
@@ -177,7 +183,7 @@ class Weights:
     """Class and place weights by feature row; fixed sizes."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
+        self.a, self.own = arrays, None
 
     @classmethod
     def start(cls, share: np.ndarray) -> Weights:
@@ -193,40 +199,64 @@ class Weights:
     def copy(self) -> Weights:
         return Weights({k: v.copy() for k, v in self.a.items()})
 
+    def space(self, n: int) -> dict[str, np.ndarray]:
+        """Arrays that all batches of one size share: fresh ones of this size cost more than what is done in them."""
+        if self.own is None or len(self.own["z"]) < n:
+            single = ("z", "e", "rows")
+            self.own = {k: np.empty((n, max(CLASSES, PLACES)), np.float32) for k in single} | {"columns": np.empty((max(CLASSES, PLACES), n))}
+        return {k: v[:n] if k != "columns" else v[:, :n] for k, v in self.own.items()}
+
     @staticmethod
-    def log_soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logs of the softmax of each row, and values with their totals; weights are too small for a row of exps to vanish."""
+    def log_soft(z: np.ndarray, e: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logs of the softmax of each row, in place, and exps (in e) with their totals; weights are too small for a row of exps to vanish."""
         z -= z.max()
-        e = np.exp(z)
+        e = np.exp(z, out=e)
         total = (e @ np.ones(z.shape[1], np.float32))[:, None]
         z -= np.log(total)
         return z, e, total
 
+    def soft(self, features: list[tuple[str, np.ndarray]], bias: np.ndarray | None, chosen: np.ndarray, use: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logs of the chosen entries of each row's softmax; exps and their totals."""
+        width = self.a[features[0][0]].shape[1]
+        z, e, rows = (use[k][:, :width] for k in ("z", "e", "rows"))
+        np.take(self.a[features[0][0]], features[0][1], 0, out=z, mode="clip")
+        for name, at in features[1:]:
+            z += np.take(self.a[name], at, 0, out=rows, mode="clip")
+        if bias is not None:
+            z += bias
+        logs, e, total = self.log_soft(z, e)
+        return logs[np.arange(len(z)), chosen].astype(np.float64), e, total
+
+    def move(self, features: list[tuple[str, np.ndarray]], chosen: np.ndarray, e: np.ndarray, total: np.ndarray, step: float, seen: dict[str, np.ndarray], columns: np.ndarray):
+        """A gradient step: each row of weights moves by its mean gradient in the batch, as if two rows had none."""
+        e /= total
+        e[np.arange(len(e)), chosen] -= 1
+        columns = columns[: e.shape[1]]
+        np.copyto(columns, e.T)
+        for name, rows in features:
+            n = np.bincount(rows, minlength=len(self.a[name]))
+            ids = np.flatnonzero(n)
+            some, n = (np.cumsum(n > 0) - 1)[rows], n[ids]
+            change = np.empty((len(ids), len(columns)), np.float32)
+            for k, gradient in enumerate(columns):
+                change[:, k] = np.bincount(some, gradient, len(ids))
+            change *= (step / (n + 2.0)).astype(np.float32)[:, None]
+            self.a[name][ids] -= change
+            seen[name][ids] += n
+
     def batch(self, last, skip, shape, pair, group, place, step: float = 0.0, seen: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """Natural log probability of each token's class and place; with a step, the weights move."""
-        a, row = self.a, np.arange(len(group))
-        z = a["last"][last]
-        z += a["bias"]
-        for name, rows in (("skip", skip), ("shape", shape), ("pair", pair)):
-            z += a[name][rows]
-        logp, p, total = self.log_soft(z)
+        use = self.space(len(group))
         inner = (((last * CLASSES + group).astype(np.uint64) * _MIX) >> np.uint64(64 - WITHIN_BITS)).astype(np.int64)
-        z = a["within"][inner]
-        z += a["word"][group]
-        logq, q, total_q = self.log_soft(z)
-        out = logp[row, group].astype(np.float64) + logq[row, place]
-        if step:
-            p, q = p / total, q / total_q
-            p[row, group] -= 1
-            q[row, place] -= 1
-            p, q = np.ascontiguousarray(p.T, np.float64), np.ascontiguousarray(q.T, np.float64)
-            for name, rows, grad in (("last", last, p), ("skip", skip, p), ("shape", shape, p), ("pair", pair, p), ("word", group, q), ("within", inner, q)):
-                n = np.bincount(rows, minlength=len(a[name]))
-                ids = np.flatnonzero(n)
-                some, n = np.cumsum(n > 0)[rows] - 1, n[ids]
-                change = np.stack([np.bincount(some, g, len(ids)) for g in grad], 1)
-                a[name][ids] -= (step * change / (n + 2.0)[:, None]).astype(np.float32)
-                seen[name][ids] += n
+        out = np.zeros(len(group))
+        for features, bias, chosen in (
+            ([("last", last), ("skip", skip), ("shape", shape), ("pair", pair)], self.a["bias"], group),
+            ([("within", inner), ("word", group)], None, place),
+        ):
+            logs, e, total = self.soft(features, bias, chosen, use)
+            out += logs
+            if step:
+                self.move(features, chosen, e, total, step, seen, use["columns"])
         return out
 
 
