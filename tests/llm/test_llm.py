@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import components, decontam, html_paths, langid, line_rules, maxent, nbsvm, neardup, packing, paragraphs, pii
+from tidewheel.llm import components, decontam, html_paths, ids, langid, line_rules, maxent, nbsvm, neardup, packing, paragraphs, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cid long, key string"
 random.seed(3)
@@ -531,3 +531,36 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     want = {k: [*tokenizer.encode(pii.mask(t or "", pii.find(t)[1]), add_special_tokens=False).ids, 0] for k, t in left}
     assert {r["doc_id"]: r["doc_tokens"] for r in got} == {k: len(v) for k, v in want.items()}
     assert all(zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+
+
+def shuffled(spark):
+    """Bytes that this session's tasks have given to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_near_duplicates_leave_texts_where_they_are(spark):
+    """Texts are not shuffled to look up sets or to keep rows, also where ids are too many for a broadcast join."""
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40_000)) + f" {k}") for k in range(60)]
+    rows += [(100 + k, f"{BASE} and {k % 2}") for k in range(4)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        before = shuffled(spark)
+        assert {r["doc_id"] for r in neardup.components_of(df).where("not kept").collect()} == {101, 102, 103}
+        assert {r["doc_id"] for r in neardup.keep_first(df).collect()} == {*range(60), 100}
+        assert shuffled(spark) - before < 400_000  # of 2.4 MB, twice
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("held", [0, 5, ids.HELD])
+def test_ids_are_told_apart_exactly(spark, held):
+    df = spark.range(-500, 4_500).withColumn("in", F.col("id") % 7 == 3)
+    inside, outside = df.where("in").select("id"), df.where("not in").select("id")
+    there = ids.among(inside, outside, held)(F.col("id"))
+    assert {r["id"] for r in df.where(there).collect()} == {r["id"] for r in inside.collect()}
+    loose = ids.maybe(spark, ids.bits_of(inside), F.col("id"))
+    assert df.where("in").where(loose).count() == inside.count() and df.where("not in").where(loose).count() < 600

@@ -43,6 +43,13 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def pieces(batches, rows: int = 512):
+    """The same rows in smaller batches: a worker then holds little of what it makes of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """Bind value once for body; a column reference in a lambda could be inlined and evaluated per element."""
     return F.transform(F.array(value), body)[0]

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import similar
-from .common import stash
+from . import ids, similar
+from .common import pieces, stash
 
 SHINGLE = 4
 PERCENT = 80
@@ -35,7 +35,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, coords: int = COORDS) -> Dat
     """doc_id, n_shingles, cid, sig; cid and sig are null without a set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             n, cid, sig = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = similar.shingle_set(_words(text), shingle)
@@ -48,26 +48,31 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE, coords: int = COORDS) -> Dat
     return own.mapInArrow(run, "doc_id long, n_shingles long, cid long, sig binary")
 
 
-def sets_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """cid, members: the full set of each document row."""
+def sets_of(docs: DataFrame, places: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """cid, members: the full set of each document row whose id is among the places, and of a few others.
+
+    The places go to the tasks as a filter, so that no text is shuffled, and the filter is applied where the sets are made:
+    a Python filter of its own would be a second worker beside each task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ids.bits_of(places))
 
     def run(batches):
-        for batch in batches:
-            sets = [similar.shingle_set(_words(t), shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for batch in pieces(batches):
+            there = pa.array(ids.has(shared.value, batch.column(0).to_numpy()))
+            sets = [similar.shingle_set(_words(t), shingle) for t in batch.column(1).filter(there).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([similar.class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cid long, members binary")
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInArrow(run, "cid long, members binary")
 
 
 def _classes(docs: DataFrame, shingle: int, percent: int, coords: int, least: int, limits: dict) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, cid), and the class of every set: cid, at (its least doc_id), component_id, keeper (its component's class to keep)."""
     known = stash(sketch(docs, shingle, coords))
     classes = stash(known.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("at"), F.min("sig").alias("sig"), F.count("*").alias("copies"), F.min("n_shingles").alias("size")))
-    text_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def fetch(places: DataFrame) -> DataFrame:
-        sets = sets_of(text_of.join(places, text_of["doc_id"].eqNullSafe(places["at"]), "left_semi"), shingle)
-        return sets.groupBy("cid").agg(F.min("members").alias("members"))
+        """Sets of other places may come along; they meet no pair."""
+        return sets_of(docs, places, shingle).groupBy("cid").agg(F.min("members").alias("members"))
 
     roots = similar.roots(classes, fetch, coords=coords, least=least, percent=percent, **limits)
     linked = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid").select("cid", "at", "root")
@@ -92,15 +97,21 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, **limits: int) -> DataFr
 
     Of rows with that id in one component, one of the class named by `keeper` stays.  A null id is larger than all others.
     Rows with one id and texts of different components each stand for themselves.  Where an id is on one row only, the
-    choice is a semi join on ids; only rows whose id is null or repeated are shingled again, to tell them apart.
+    ids to leave out go to the rows, or join them if they are too many; only rows whose id is null or repeated are
+    shingled again, to tell them apart.
     """
     known, by_class = _classes(docs, shingle, PERCENT, COORDS, LEAST, limits)
     chosen = known.join(by_class.withColumnRenamed("cid", "_class"), F.col("cid") == F.col("_class"), "left")
     kept = F.col("cid").isNull() | ((F.col("cid") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    by_id = stash(chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max(kept).alias("_kept")).where("_kept").drop("_kept"))
-    single = by_id.where("_id is not null and _rows = 1").select("_id")
-    plain = docs.join(single, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    several = by_id.where("_id is null or _rows > 1").select("_id")
+    by_id = stash(chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max(kept).alias("_kept")))
+    single = by_id.where("_kept and _id is not null and _rows = 1").select("_id")
+    other = by_id.where("_id is not null and not (_kept and _rows = 1)").select("_id")
+    own = F.col("doc_id").cast("long")
+    if other.count() * ids.BITS_EACH > ids.MOST_BITS:
+        plain = docs.join(single, own == F.col("_id"), "left_semi")
+    else:
+        plain = docs.where(own.isNotNull() & ~ids.among(other, single)(own))
+    several = by_id.where("_kept and (_id is null or _rows > 1)").select("_id")
     if several.isEmpty():
         return plain
     doubtful = docs.join(several, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
@@ -116,7 +127,7 @@ def _with_class(docs: DataFrame, shingle: int) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [similar.shingle_set(_words(t), shingle) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.append_column("_cid", pa.array([similar.class_id(s) if len(s) else None for s in sets], pa.int64()))
 
