@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import components, decontam, html_paths, ids, langid, line_rules, maxent, nbsvm, neardup, packing, paragraphs, pii
+from tidewheel.llm import common, components, decontam, html_paths, ids, langid, line_rules, maxent, nbsvm, neardup, packing, paragraphs, pii
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cid long, key string"
 random.seed(3)
@@ -564,3 +565,31 @@ def test_ids_are_told_apart_exactly(spark, held):
     assert {r["id"] for r in df.where(there).collect()} == {r["id"] for r in inside.collect()}
     loose = ids.maybe(spark, ids.bits_of(inside), F.col("id"))
     assert df.where("in").where(loose).count() == inside.count() and df.where("not in").where(loose).count() < 600
+
+
+def test_language_model_holds_a_slice_of_features():
+    """Features of a chunk are made some tokens at a time, with the same results as all at once."""
+    texts = [" ".join(random.Random(k).choices(WORDS, k=[0, 1, 2, 3000][k % 4])).encode() for k in range(2_000)]
+    coder = maxent.Coder()
+    lens, numbers = coder(texts)
+    own = maxent.Chunk(coder.chunk(list(range(len(texts))), [True] * len(texts), [False] * len(texts), [lens], [numbers]))
+    known = own.hashes[: maxent.KNOWN]
+    parts = list(own.slices(known, 4_099))
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts, strict=True), own.coded(known), strict=True))
+    model = maxent.Model(known, np.ones(maxent.KNOWN), maxent.Weights.start(np.ones((maxent.CLASSES, maxent.PLACES))), np.ones((maxent.FORMS, maxent.PLACES)), 10**6, 10**5)
+    tracemalloc.start()
+    try:
+        model.of(own)
+        assert tracemalloc.get_traced_memory()[1] < 55 * len(own.stream)  # bytes; all features at once take 80 a token
+    finally:
+        tracemalloc.stop()
+
+
+def test_freed_memory_goes_back():
+    anonymous = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+    common.give_back()
+    before = anonymous()
+    words = [b"%020d" % k for k in range(1_500_000)]
+    words = words[::100_000]  # the last of these keep a heap from shrinking by itself
+    common.give_back()
+    assert len(words) == 15 and anonymous() - before < 40

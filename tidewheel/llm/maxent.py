@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stash
+from .common import fold, give_back, stash
 
 KNOWN, PLACES, FORMS = 512, 32, 16
 CLASSES = KNOWN // PLACES + FORMS
@@ -42,6 +42,7 @@ LAST_ROWS, PAIR_BITS, WITHIN_BITS = 1 << 13, 13, 13
 CODES = KNOWN + FORMS + 1  # the last: before the text
 ROUNDS, STEP, BATCH = 2, 1.2, 8_192
 END = b"\n"
+SLICE = 16 * BATCH  # tokens whose features a task holds at a time
 MEMO = 400_000
 CHUNK, CHUNK_DOCS = 1_500_000, 60_000
 PART = 512
@@ -120,8 +121,8 @@ class Chunk:
         out.stream, out.lens = self.stream[np.repeat(docs, self.lens)], self.lens[docs]
         return out
 
-    def coded(self, known: np.ndarray) -> tuple[np.ndarray, ...]:
-        """last, skip, shape, pair, class and place of every token; known: hashes of the most frequent tokens."""
+    def slices(self, known: np.ndarray, size: int):
+        """last, skip, shape, pair, class and place of every token, for so many tokens at a time; known: hashes of the most frequent tokens."""
         order = np.argsort(known)
         at = order[np.minimum(np.searchsorted(known, self.hashes, sorter=order), max(0, len(known) - 1))] if len(known) else np.zeros(len(self.hashes), np.int64)
         rare = known[at] != self.hashes if len(known) else np.ones(len(self.hashes), bool)
@@ -132,18 +133,25 @@ class Chunk:
         group = np.where(rare, KNOWN // PLACES + form, at // PLACES)
         place = np.where(rare, spread >> np.uint64(59), at % PLACES).astype(np.int64)
         s, first = self.stream, np.cumsum(self.lens) - self.lens
+        starts = [(first + k)[self.lens > k] for k in range(2)]
 
-        def before(values: np.ndarray, steps: int, start: int) -> np.ndarray:
-            out = np.empty(len(s), np.int64)
-            out[steps:] = values[s[:-steps]]
-            for k in range(steps):
-                out[(first + k)[self.lens > k]] = start
+        def before(values: np.ndarray, steps: int, start: int, a: int, b: int) -> np.ndarray:
+            out, own = np.empty(b - a, np.int64), max(a, steps)
+            out[own - a :] = values[s[own - steps : max(0, b - steps)]]
+            for x in starts[:steps]:
+                out[x[np.searchsorted(x, a) : np.searchsorted(x, b)] - a] = start
             return out
 
-        last, other = before(row, 1, LAST_ROWS - 1), before(row, 2, LAST_ROWS - 1)
-        pair = ((last.astype(np.uint64) * np.uint64(LAST_ROWS) + other.astype(np.uint64)) * _PAIR) >> np.uint64(64 - PAIR_BITS)
-        shape = before(form, 1, FORMS) * (FORMS + 1) + before(form, 2, FORMS)
-        return last, before(code, 2, CODES - 1), shape, pair.astype(np.int64), group[s], place[s]
+        for a in range(0, len(s), size):
+            b = min(a + size, len(s))
+            last, other = before(row, 1, LAST_ROWS - 1, a, b), before(row, 2, LAST_ROWS - 1, a, b)
+            pair = ((last.astype(np.uint64) * np.uint64(LAST_ROWS) + other.astype(np.uint64)) * _PAIR) >> np.uint64(64 - PAIR_BITS)
+            shape = before(form, 1, FORMS, a, b) * (FORMS + 1) + before(form, 2, FORMS, a, b)
+            yield last, before(code, 2, CODES - 1, a, b), shape, pair.astype(np.int64), group[s[a:b]], place[s[a:b]]
+
+    def coded(self, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The one slice with all tokens."""
+        return next(self.slices(known, max(1, len(self.stream))), (np.empty(0, np.int64),) * 6)
 
 
 def code(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
@@ -156,6 +164,7 @@ def code(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
             nonlocal number, held
             out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([coder.chunk(*held)], pa.binary())], names=["chunk", "blob"])
             number, held = number + 1, [[], [], [], [], []]
+            give_back()
             return out
 
         for batch in batches:
@@ -174,6 +183,8 @@ def code(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
                     yield flush()
         if held[0]:
             yield flush()
+        coder = batch = texts = lens = numbers = None
+        give_back()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn"), held_out.alias("held"))
     return own.mapInArrow(run, "chunk long, blob binary")
@@ -302,9 +313,11 @@ def train(coded: DataFrame, known: np.ndarray, start: Weights, rounds: int = ROU
             for batch in batches:
                 for blob in batch.column(0):
                     chunk = Chunk(blob.as_py())
-                    tokens = chunk.only(chunk.learn & (np.arange(len(chunk.lens)) % rounds == k)).coded(known)
-                    for b in range(0, len(tokens[0]), BATCH):
-                        own.batch(*(x[b : b + BATCH] for x in tokens), step, seen)
+                    for tokens in chunk.only(chunk.learn & (np.arange(len(chunk.lens)) % rounds == k)).slices(known, SLICE):
+                        for b in range(0, len(tokens[0]), BATCH):
+                            own.batch(*(x[b : b + BATCH] for x in tokens), step, seen)
+                    chunk = tokens = None
+                    give_back()
             salt, rows = TaskContext.get().partitionId() // 64, []
             for name, new in own.a.items():
                 for part in range(0, len(new), PART):
@@ -348,12 +361,15 @@ class Model:
 
     def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: whether it is rare, base log10 probability and the model's; of rare ones without log10(c + 1)."""
-        tokens = chunk.coded(self.known)
-        group, place = tokens[4], tokens[5]
-        logs = np.concatenate([self.weights.batch(*(x[b : b + BATCH] for x in tokens)) for b in range(0, len(group), BATCH)]) / np.log(10)
-        rare = group >= KNOWN // PLACES
-        logs[rare] -= self.rare_log[group[rare] - KNOWN // PLACES, place[rare]]
-        base = np.where(rare, 0.0, self.base_log[np.where(rare, 0, group * PLACES + place)]) - np.log10(self.total + self.distinct + 1)
+        n = len(chunk.stream)
+        rare, base, logs = np.empty(n, bool), np.empty(n), np.empty(n)
+        for a, tokens in zip(range(0, n, SLICE), chunk.slices(self.known, SLICE), strict=True):
+            group, place, own = tokens[4], tokens[5], slice(a, a + SLICE)
+            log = np.concatenate([self.weights.batch(*(x[b : b + BATCH] for x in tokens)) for b in range(0, len(group), BATCH)]) / np.log(10)
+            rare[own] = far = group >= KNOWN // PLACES
+            log[far] -= self.rare_log[group[far] - KNOWN // PLACES, place[far]]
+            logs[own] = log
+            base[own] = np.where(far, 0.0, self.base_log[np.where(far, 0, group * PLACES + place)]) - np.log10(self.total + self.distinct + 1)
         return rare, base, logs
 
 
@@ -397,6 +413,8 @@ def score(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
                 for cut in range(0, len(t), 50_000):
                     n = min(50_000, len(t) - cut)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(own.hashes[t[cut : cut + n]]), holders.slice(cut, n)], names=["block", "h", "holders"])
+                own = rare = base = logs = doc = keep = t = holders = None
+                give_back()
 
     def finish(key, rows):
         c = rows.column("c").fill_null(0).to_numpy()
