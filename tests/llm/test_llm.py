@@ -585,6 +585,20 @@ def test_language_model_holds_a_slice_of_features():
         tracemalloc.stop()
 
 
+def test_files_of_a_written_tables_shuffles_go_at_once(spark):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(k).getName().startswith("shuffle_") for k in range(found.size()))
+
+    before = files()
+    out = common.stash(spark.range(10_000).repartition(3).groupBy((F.col("id") % 99).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 99 and spark.conf.get(common.CLEAN_UP, None) in (None, "false")
+
+
 def test_freed_memory_goes_back():
     anonymous = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
     common.give_back()

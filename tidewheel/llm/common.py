@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Else a shuffle's files stay until the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,10 +29,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, which outlives any executor."""
+    """Cut the lineage by a table in the shared folder, which outlives any executor; the files of its shuffles go as soon as it is written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
