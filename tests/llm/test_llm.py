@@ -607,3 +607,15 @@ def test_freed_memory_goes_back():
     words = words[::100_000]  # the last of these keep a heap from shrinking by itself
     common.give_back()
     assert len(words) == 15 and anonymous() - before < 40
+
+
+def test_near_duplicates_with_a_filter_that_lets_many_through(spark, monkeypatch):
+    """Sets that no pair asked for change nothing, nor do null and repeated ids; too many ids to leave out are joined."""
+    monkeypatch.setattr(ids, "MOST_BITS", 1)
+    rows = similar_texts()
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (3, "another text of some other words here")], "doc_id long, text string")
+    want = slow_groups(rows, 4)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.components_of(df).collect()}
+    assert {k: (n, got[k, n]) for k, (n, _) in want.items()} == want and got[None, want[0][0]] == want[0][1]
+    kept = Counter(r["doc_id"] for r in neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect())
+    assert kept == Counter(k for k, (_, first) in want.items() if k == first)
