@@ -1,3 +1,4 @@
+import glob
 import itertools
 import math
 import random
@@ -8,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -585,6 +588,56 @@ def test_language_model_holds_a_slice_of_features():
         tracemalloc.stop()
 
 
+def test_language_model_sums_by_document_in_little_memory():
+    texts = [" ".join(random.Random(k).choices(WORDS, k=[0, 1, 2, 3000][k % 4])).encode() for k in range(2_000)]
+    coder = maxent.Coder()
+    lens, numbers = coder(texts)
+    own = maxent.Chunk(coder.chunk(list(range(len(texts))), [True] * len(texts), [False] * len(texts), [lens], [numbers]))
+    model = maxent.Model(own.hashes[:300], np.ones(300), maxent.Weights.start(np.ones((maxent.CLASSES, maxent.PLACES))), np.ones((maxent.FORMS, maxent.PLACES)), 10**6, 10**5)
+    rare, base, logs = model.of(own)
+    at = np.repeat(np.arange(len(lens)), lens)
+    tracemalloc.start()
+    try:
+        told, doc, sums = model.sums(own)
+        t, holders = maxent.lines_up(own.stream[told], doc[told])
+        assert tracemalloc.get_traced_memory()[1] < 42 * len(own.stream)  # bytes, a third of them for features; arrays for all tokens took 63
+    finally:
+        tracemalloc.stop()
+    assert (told == rare).all() and (doc == at).all() and all(np.allclose(x, np.bincount(at, y, len(lens))) for x, y in zip(sums, (~rare, base, logs), strict=True))
+    want = sorted(zip(own.stream[rare].tolist(), at[rare].tolist(), strict=True))
+    assert [(k, d) for k, x in zip(t.tolist(), holders.to_pylist(), strict=True) for d in np.frombuffer(x, "<u2").tolist()] == want
+
+
+def test_chunks_of_the_language_model_are_read_one_at_a_time(spark, monkeypatch):
+    """Each chunk is a row group and a page; what is left at the end is the result alone."""
+    tables, groups = [], []
+
+    def kept(df, *values, **options):
+        out = common.stash(df, *values, **options)
+        tables.append(out)
+        if "blob" in out.columns:
+            groups.extend(pq.ParquetFile(f).metadata for f in glob.glob(f"{out._stash_path}/*.parquet"))
+        return out
+
+    monkeypatch.setattr(maxent, "stash", kept)
+    df = spark.createDataFrame([(k, "some words of ") for k in range(4)], "doc_id long, text string").withColumn("text", F.expr("repeat(text, 500000)"))
+    got = {r["doc_id"]: r["n_tokens"] for r in maxent.language_scores(df.coalesce(1)).collect()}
+    assert got == {k: 1_500_001 for k in range(4)}
+    assert [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)] == [1] * 4
+    assert [bool(glob.glob(f"{t._stash_path}/*")) for t in tables] == [False] * (len(tables) - 1) + [True]
+
+
+def test_batches_for_a_stashed_table_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    df = spark.range(0, 9_000, 1, 1).select(F.repeat(F.lit("x"), 2_000).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    out = [r["n"] for r in common.stash(df.mapInArrow(sizes, "n long")).collect()]
+    assert sum(out) > 18e6 and max(out) < 6e6 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_files_of_a_written_tables_shuffles_go_at_once(spark):
     def files():
         found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Else a shuffle's files stay until the driver happens to collect garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that go to a Python worker, or come back, at once; the executor keeps some copies of them outside its heap.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4MB"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,16 +31,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared or os.path.join(tempfile.gettempdir(), "tidewheel-scratch")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, which outlives any executor; the files of its shuffles go as soon as it is written."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stash-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stash(df: DataFrame, values: dict[str, str] = BATCH_BYTES, **options: str) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, which outlives any executor; the files of its shuffles go as soon as it is written.
+
+    values: settings while it is made.  options: of the writer.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/stash-{uuid.uuid4().hex}"
+    with settings(spark, {CLEAN_UP: "true", **values}):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, give_back, stash
+from .common import BATCH_BYTES, discard, fold, give_back, settings, stash
 
 KNOWN, PLACES, FORMS = 512, 32, 16
 CLASSES = KNOWN // PLACES + FORMS
@@ -46,6 +46,9 @@ SLICE = 16 * BATCH  # tokens whose features a task holds at a time
 MEMO = 400_000
 CHUNK, CHUNK_DOCS = 1_500_000, 60_000
 PART = 512
+#: Chunks are rows of some MB: each is written as a page and a row group of its own and read by itself, so that an executor's heap holds few at a time.
+BY_CHUNK = {"parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.block.row.count.limit": "1"}
+ONE_BY_ONE = {**BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": "1"}
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -61,6 +64,14 @@ def hash_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
+def tally(at: np.ndarray, size: int) -> np.ndarray:
+    """How often each number occurs, some at a time: bincount makes wider copies."""
+    out = np.zeros(size, np.int64)
+    for a in range(0, len(at), SLICE):
+        out += np.bincount(at[a : a + SLICE], minlength=size)
+    return out
+
+
 class Numbers(dict):
     """Words to numbers in the order of their first use."""
 
@@ -88,15 +99,18 @@ class Coder:
         self.forms = np.concatenate([self.forms, np.fromiter(map(form_of, new), np.uint8, len(new))])
 
     def chunk(self, doc_id: list, learn: list, held: list, lens: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
-        """Everything that later passes need of some documents; the memory starts anew once it is large."""
+        """Everything that later passes need of some documents; the memory starts anew once it is large.  Empties numbers."""
         self.name()
-        lens, numbers, learn = np.concatenate(lens), np.concatenate(numbers), np.array(learn, bool)
-        often = np.bincount(numbers, minlength=len(self.memo))
+        parts, numbers = numbers, np.concatenate(numbers)
+        parts.clear()
+        lens, learn = np.concatenate(lens), np.array(learn, bool)
+        often = tally(numbers, len(self.memo))
         used = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
         rank = np.empty(len(often), np.uint32)
         rank[used] = np.arange(len(used), dtype=np.uint32)
         stream = rank[numbers]
-        learnt = np.bincount(stream, np.repeat(learn, lens), len(used)).astype(np.int32)
+        del numbers, rank, often
+        learnt = tally(stream[np.repeat(learn, lens)], len(used)).astype(np.int32)
         out = io.BytesIO()
         np.savez(
             out, doc_id=np.array([d or 0 for d in doc_id], np.int64), null=np.array([d is None for d in doc_id]), held=np.array([2 if h is None else h for h in held], np.uint8), learn=learn,
@@ -341,11 +355,13 @@ def train(coded: DataFrame, known: np.ndarray, start: Weights, rounds: int = ROU
 
 def lines_up(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Distinct token numbers, and for each the documents that hold it (once per occurrence), as binary uint16."""
-    order = np.argsort(tokens, kind="stable")  # documents are in order already
-    t, d = tokens[order], docs[order].astype("<u2")
-    begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
-    offsets = np.append(begin, len(t)).astype(np.int32) * 2
-    return t[begin], pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(d.tobytes())])
+    both = tokens.astype(np.int64) << 16 | docs
+    both.sort()
+    d = both.astype("<u2")
+    both >>= 16
+    begin = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
+    offsets = np.append(begin, len(both)).astype(np.int32) * 2
+    return both[begin], pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(d.tobytes())])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -359,19 +375,36 @@ class Model:
         self.known, self.weights, self.total, self.distinct = known, weights, total, distinct
         self.base_log, self.rare_log = np.log10(np.append(often, np.zeros(KNOWN - len(often))) + 1), np.log10(rare)
 
+    def parts(self, chunk: Chunk):
+        """A slice of the tokens at a time: where it is, whether each token is rare, base log10 probability and the model's; of rare ones without log10(c + 1)."""
+        for a, tokens in zip(range(0, len(chunk.stream), SLICE), chunk.slices(self.known, SLICE), strict=True):
+            group, place = tokens[4], tokens[5]
+            log = np.concatenate([self.weights.batch(*(x[b : b + BATCH] for x in tokens)) for b in range(0, len(group), BATCH)]) / np.log(10)
+            far = group >= KNOWN // PLACES
+            log[far] -= self.rare_log[group[far] - KNOWN // PLACES, place[far]]
+            yield slice(a, a + len(group)), far, np.where(far, 0.0, self.base_log[np.where(far, 0, group * PLACES + place)]) - np.log10(self.total + self.distinct + 1), log
+
     def of(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: whether it is rare, base log10 probability and the model's; of rare ones without log10(c + 1)."""
+        """The same of all tokens."""
         n = len(chunk.stream)
         rare, base, logs = np.empty(n, bool), np.empty(n), np.empty(n)
-        for a, tokens in zip(range(0, n, SLICE), chunk.slices(self.known, SLICE), strict=True):
-            group, place, own = tokens[4], tokens[5], slice(a, a + SLICE)
-            log = np.concatenate([self.weights.batch(*(x[b : b + BATCH] for x in tokens)) for b in range(0, len(group), BATCH)]) / np.log(10)
-            rare[own] = far = group >= KNOWN // PLACES
-            log[far] -= self.rare_log[group[far] - KNOWN // PLACES, place[far]]
-            logs[own] = log
-            base[own] = np.where(far, 0.0, self.base_log[np.where(far, 0, group * PLACES + place)]) - np.log10(self.total + self.distinct + 1)
+        for own, *some in self.parts(chunk):
+            rare[own], base[own], logs[own] = some
         return rare, base, logs
 
+    def sums(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each token is rare, the document of each, and for each document: tokens that are not rare, base and model's log10 probability."""
+        n = len(chunk.lens)
+        rare, doc, out = np.empty(len(chunk.stream), bool), np.repeat(np.arange(n, dtype=np.uint16), chunk.lens), np.zeros((3, n))
+        for own, far, base, log in self.parts(chunk):
+            rare[own] = far
+            first, at = int(doc[own.start]), doc[own].astype(np.int64)
+            at -= first
+            for k, values in enumerate((~far, base, log)):
+                new = np.bincount(at, values)
+                out[k, first : first + len(new)] += new
+        return rare, doc, out
+
 
 def fit(coded: DataFrame, counts: DataFrame) -> Model:
     """coded: of `code`; counts: of `count`.  What comes to the driver has a fixed size."""
@@ -389,14 +422,13 @@ def fit(coded: DataFrame, counts: DataFrame) -> Model:
     return Model(known, often, weights, rare, int(mass[0].sum()), int(mass[1].sum()))
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
 def score(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
+    """One row per document.  The result is written too: chunks are never read under settings that hold many of them at once."""
     spark = docs.sparkSession
-    coded = stash(code(docs, learn, held_out))
-    counts = stash(count(coded))
-    model = fit(coded, counts)
+    coded = stash(code(docs, learn, held_out), **BY_CHUNK, compression="zstd")
+    counts = stash(count(coded), ONE_BY_ONE)
+    with settings(spark, ONE_BY_ONE):
+        model = fit(coded, counts)
     shared, total = spark.sparkContext.broadcast(model), model.total
 
     def read(batches):
@@ -404,21 +436,19 @@ def score(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = Chunk(blob.as_py())
-                rare, base, logs = model.of(own)
-                doc, n = np.repeat(np.arange(len(own.lens)), own.lens), len(own.lens)
+                rare, doc, (known, base, logs) = model.sums(own)
                 keep = io.BytesIO()
-                np.savez(keep, doc_id=own.doc_id, null=own.null, held=own.held, n=own.lens, known=np.bincount(doc, ~rare, n), base=np.bincount(doc, base, n), score=np.bincount(doc, logs, n))
+                np.savez(keep, doc_id=own.doc_id, null=own.null, held=own.held, n=own.lens, known=known, base=base, score=logs)
                 t, holders = lines_up(own.stream[rare], doc[rare])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([keep.getvalue()], pa.binary())], names=["block", "h", "holders"])
                 for cut in range(0, len(t), 50_000):
                     n = min(50_000, len(t) - cut)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(own.hashes[t[cut : cut + n]]), holders.slice(cut, n)], names=["block", "h", "holders"])
-                own = rare = base = logs = doc = keep = t = holders = None
+                own = rare = known = base = logs = doc = keep = t = holders = None
                 give_back()
 
     def finish(key, rows):
-        c = rows.column("c").fill_null(0).to_numpy()
-        is_docs = np.array(rows.column("h").is_null().to_pylist())
+        c, is_docs = rows.column("c").fill_null(0).to_numpy(), rows.column("c").is_null().to_numpy()
         holders = rows.column("holders").to_pylist()
         sums = np.load(io.BytesIO(holders[int(np.flatnonzero(is_docs)[0])]))
         take = [x for x, own in zip(holders, is_docs, strict=True) if not own]
@@ -433,8 +463,11 @@ def score(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
         })
 
     posted = coded.mapInArrow(read, "block long, h long, holders binary")
-    joined = posted.join(counts.select("h", "c"), "h", "left")
-    return joined.groupBy("block").applyInArrow(finish, SCORED)
+    joined = posted.join(counts.select("h", "c"), "h", "left").select("block", F.when(F.col("h").isNotNull(), F.coalesce("c", F.lit(0))).alias("c"), "holders")
+    out = stash(joined.groupBy("block").applyInArrow(finish, SCORED), ONE_BY_ONE)
+    shared.unpersist()
+    discard(coded, counts)
+    return out
 
 
 def language_scores(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFrame:
