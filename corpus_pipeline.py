@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm import decontam, nbsvm, neardup, packing, pii
-from tidewheel.llm.common import discard, fold, stash, table
+from tidewheel.llm.common import BATCH_BYTES, discard, fold, stash, table
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage on a session that sends few MB of rows to Python at once, from then on: its result is made when it is written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for k, v in BATCH_BYTES.items():
+            spark.conf.set(k, v)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return nbsvm.keep_good(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0))
 
 
+@small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, on five-word shingles."""
     return neardup.keep_first(docs, shingle=5)
 
 
+@small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked."""
     return pii.redact(docs)
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences."""
     return packing.pack(docs)

@@ -662,6 +662,30 @@ def test_freed_memory_goes_back():
     assert len(words) == 15 and anonymous() - before < 40
 
 
+def test_pipeline_stages_hold_few_rows_and_give_memory_back(spark, monkeypatch, docs):
+    import corpus_pipeline
+
+    key, back = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    texts = [BASE, "mail me@example.org", None, prose(40)] * 1_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4_000)), pa.array(texts)], names=["doc_id", "text"])
+    plain = docs.select("doc_id", "text")
+    items = spark.createDataFrame([(1, prose(20))], "item_id long, text string")
+    monkeypatch.setattr(type(plain), "mapInArrow", lambda self, f, schema: f)
+    monkeypatch.setattr(common, "give_back", lambda: back.append(1))
+    model = nbsvm.Model([BASE, prose(60)], [1, 1])
+    for run in (nbsvm.keep_good(plain, model), decontam.drop_leaky(plain, items), pii.redact(plain)):
+        out, told = list(run(iter([batch]))), len(back)
+        assert told == 1 and sum(b.num_rows for b in out) == 4_000 and max(b.num_rows for b in out) <= 1_024
+        back.clear()
+    monkeypatch.undo()
+    try:
+        corpus_pipeline.STAGES[3][1](spark, docs, "")
+        assert spark.conf.get(key) in ("4MB", f"{4 << 20}b")
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_near_duplicates_with_a_filter_that_lets_many_through(spark, monkeypatch):
     """Sets that no pair asked for change nothing, nor do null and repeated ids; too many ids to leave out are joined."""
     monkeypatch.setattr(ids, "MOST_BITS", 1)

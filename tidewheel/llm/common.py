@@ -76,10 +76,12 @@ def give_back() -> None:
 
 
 def pieces(batches, rows: int = 512):
-    """The same rows in smaller batches: a worker then holds little of what it makes of them."""
+    """The same rows in smaller batches: a worker then holds little of what it makes of them, and gives that back after the last."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    give_back()
 
 
 def let(value: Column, body) -> Column:

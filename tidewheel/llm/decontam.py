@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 SIMILARITY = 0.8
 #: Share of items found that were altered by all the edits allowed; the number of walks follows from it.
 RECALL = 0.97
@@ -268,7 +270,7 @@ def drop_leaky(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHA
         shared = docs.sparkSession.sparkContext.broadcast(Finder(items))
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in pieces(batches, 1024):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[x[0] for x in shared.value.find(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(clean))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, pieces
 
 BITS = 18
 SAMPLE_ROWS = 6_000
@@ -169,7 +169,7 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches):
         scratch = np.zeros(1 << BITS, bool)
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([shared.value.score(t, scratch) >= cut for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, give_back, stash
 
 WINDOW = 1024
 END_ID = 0
@@ -142,6 +142,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW)
                 [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6,
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "block"],
             )
+        batch = rows = texts = None
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 

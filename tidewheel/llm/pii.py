@@ -20,6 +20,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "ssn", "phone_local")
 THRESHOLD = 0.5
@@ -179,7 +181,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     length = names.index(length_col) if length_col in names else None
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             cols = list(batch.columns)
             texts = [t if t is None else mask(t, find(t)[1]) for t in cols[at].to_pylist()]
             if length is not None:
